@@ -20,6 +20,8 @@ are left out; extra columns pass through ``masked`` and are ignored by ``scan``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def found(text: Column, pattern: str) -> Column:
     """Matches of a pattern, in order: struct of start, stop, text and second group (or whole)."""
     group = 2 if pattern is ASSIGN else 0
@@ -64,56 +71,69 @@ def randomness(token: Column) -> Column:
     letters = F.filter(F.split(word, ""), lambda c: c != "")
     # base 64 has 64 symbols in either of its two forms
     size = F.least(F.length(alphabet), F.lit(64)).cast("double")
-    x = F.transform(letters, lambda c: (F.locate_in(alphabet, c) if hasattr(F, "locate_in") else F.instr(alphabet, c)).cast("double"))
-    return F.aggregate(F.array(F.struct(x.alias("x"), letters.alias("c"), size.alias("k"))), F.lit(1.0), lambda _, s: _fisher(s))
+    coded = lambda t: F.struct(F.transform(t["c"], lambda c: F.instr(alphabet, c).cast("double")).alias("x"), t["c"].alias("c"), t["k"].alias("k"))
+    return let(let(F.struct(letters.alias("c"), size.alias("k")), coded), _fisher)
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
 
 
 def _fisher(s: Column) -> Column:
+    """s: x, the symbols' places in an alphabet; c, the symbols; k, its size."""
     x, c, k = s["x"], s["c"], s["k"]
     n = F.greatest(F.size(x), F.lit(1)).cast("double")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
-    squares = total(F.transform(F.array_distinct(c), lambda u: F.pow(F.size(F.filter(c, lambda v: v == u)).cast("double"), F.lit(2.0))))
-    chi = F.greatest(k / n * squares - n, F.lit(1e-9))
-    free = k - 1
-    # Wilson and Hilferty's cube root; the upper tail
-    uniform = _below(-(F.pow(chi / free, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * free))) / F.sqrt(F.lit(2.0) / (9 * free)))
-    pairs = F.arrays_zip(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))).alias("a"), F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))).alias("b"))
-    up = total(F.transform(x, lambda v: (v > k / 2).cast("double")))
-    runs = 1 + total(F.transform(pairs, lambda p: ((p["a"] > k / 2) != (p["b"] > k / 2)).cast("double")))
-    mean_runs = 1 + 2 * up * (n - up) / n
-    spread = F.greatest((mean_runs - 1) * (mean_runs - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
-    ordered = 2 * _below(-F.abs(runs - mean_runs) / F.sqrt(spread))
-    mean = total(x) / n
-    variance = F.greatest(total(F.transform(x, lambda v: (v - mean) * (v - mean))), F.lit(1e-9))
-    serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / variance
-    alone = 2 * _below(-F.abs(serial + 1 / n) * F.sqrt(n))
-    clip = lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))
-    stat = -(F.log(clip(uniform)) + F.log(clip(ordered)) + F.log(clip(alone)))  # half of Fisher's statistic, 6 degrees of freedom
-    return F.exp(-stat) * (1 + stat + stat * stat / 2)
+    squares = _total(F.transform(F.array_distinct(c), lambda u: F.pow(F.size(F.filter(c, lambda v: v == u)).cast("double"), F.lit(2.0))))
+    tail = F.greatest(F.size(x) - 1, F.lit(0))
+    sides = F.struct(n.alias("n"), squares.alias("squares"), _total(F.transform(x, lambda v: (v > k / 2).cast("double"))).alias("up"), (_total(x) / n).alias("mean"), F.arrays_zip(F.slice(x, F.lit(1), tail).alias("a"), F.slice(x, F.lit(2), tail).alias("b")).alias("pairs"))
+
+    def joined(t: Column) -> Column:
+        n, up, mean = t["n"], t["up"], t["mean"]
+        chi, free = F.greatest(k / n * t["squares"] - n, F.lit(1e-9)), k - 1
+        # Wilson and Hilferty's cube root; the upper tail
+        uniform = _below(-(F.pow(chi / free, F.lit(1 / 3)) - (1 - F.lit(2.0) / (9 * free))) / F.sqrt(F.lit(2.0) / (9 * free)))
+        runs = 1 + _total(F.transform(t["pairs"], lambda p: ((p["a"] > k / 2) != (p["b"] > k / 2)).cast("double")))
+        mean_runs = 1 + 2 * up * (n - up) / n
+        spread = F.greatest((mean_runs - 1) * (mean_runs - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
+        ordered = 2 * _below(-F.abs(runs - mean_runs) / F.sqrt(spread))
+        variance = F.greatest(_total(F.transform(x, lambda v: (v - mean) * (v - mean))), F.lit(1e-9))
+        serial = _total(F.transform(t["pairs"], lambda p: (p["a"] - mean) * (p["b"] - mean))) / variance
+        alone = 2 * _below(-F.abs(serial + 1 / n) * F.sqrt(n))
+        clip = lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))
+        stat = -(F.log(clip(uniform)) + F.log(clip(ordered)) + F.log(clip(alone)))  # half of Fisher's statistic, 6 degrees of freedom
+        return let(stat, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+
+    return let(sides, joined)
 
 
 def random_tokens(tokens: Column) -> Column:
     """Of a document's tokens (start, stop, m, g), those that stay random under the step-up rule."""
-    n = F.size(tokens).cast("double")
     weight = lambda t: F.sqrt((t["stop"] - t["start"]).cast("double"))
     scored = F.transform(tokens, lambda t: F.struct((randomness(t["m"]) / weight(t)).alias("p"), t["start"].alias("start"), t["stop"].alias("stop")))
-    mean = F.aggregate(F.transform(tokens, weight), F.lit(0.0), lambda a, v: a + v) / F.greatest(n, F.lit(1.0))
-    ranked = F.transform(F.array_sort(scored), lambda t, i: F.struct((t["p"] * mean <= F.lit(LEVEL) * (i + 1) / n).alias("low"), t["start"].alias("start"), t["stop"].alias("stop")))
-    last = F.aggregate(F.transform(ranked, lambda t, i: F.when(t["low"], i + 1).otherwise(F.lit(0))), F.lit(0), lambda a, v: F.greatest(a, v))
-    return F.slice(ranked, last + 1, F.size(ranked) - last)
+    mean = _total(F.transform(tokens, weight)) / F.greatest(F.size(tokens), F.lit(1)).cast("double")
+
+    def step_up(s: Column) -> Column:
+        n = F.size(s["t"])
+        last = F.aggregate(F.transform(s["t"], lambda t, i: F.when(t["p"] * s["mean"] <= F.lit(LEVEL) * (i + 1) / n, i + 1).otherwise(F.lit(0))), F.lit(0), lambda a, v: F.greatest(a, v))
+        return let(last, lambda k: F.slice(s["t"], k + 1, n - k))
+
+    return let(F.struct(F.array_sort(scored).alias("t"), mean.alias("mean")), step_up)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs with __base and __all: the patterns' spans, and those of the battery too, in order."""
+    """docs with __spans: base, the patterns' spans, and all, those of the battery too; in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
     span = lambda m, k: F.transform(m, lambda t: F.struct(t["start"].alias("start"), F.lit(k).alias("kind"), t["stop"].alias("stop"))).cast(SPAN)
     assign = F.filter(found(text, ASSIGN), lambda t: F.length(t["g"]) >= 12)
     base = F.array_sort(F.concat(span(assign, 0), span(found(text, ACCESS), 1), span(found(text, HEX), 2)))
-    out = docs.withColumn("__base", base).withColumn("__long", found(text, RANDOM))
-    free = F.filter("__long", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    out = out.withColumn("__long", free)
-    more = F.when(F.size("__long") > 0, span(random_tokens(F.col("__long")), 3)).otherwise(F.array().cast(SPAN))
-    return out.withColumn("__all", F.array_sort(F.concat("__base", more))).drop("__long")
+    none = F.array().cast(SPAN)
+
+    def add(s: Column) -> Column:
+        free = F.filter(s["long"], lambda t: ~F.exists(s["base"], lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+        more = F.when(F.size(s["long"]) > 0, let(free, lambda f: F.when(F.size(f) > 0, span(random_tokens(f), 3)).otherwise(none))).otherwise(none)
+        return F.struct(s["base"].alias("base"), F.array_sort(F.concat(s["base"], more)).alias("all"))
+
+    return docs.withColumn("__spans", let(F.struct(base.alias("base"), found(text, RANDOM).alias("long")), add))
 
 
 def written(spans: Column) -> Column:
@@ -124,8 +144,8 @@ def written(spans: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document."""
     got = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
-    return got.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(F.encode(written(F.col("__base")), "UTF-8"), 256).alias("base_sha256"), written(F.col("__all")).alias("spans"))
+    count = lambda k: F.size(F.filter("__spans.base", lambda s: s["kind"] == k)).cast("long")
+    return got.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(F.encode(written(F.col("__spans.base")), "UTF-8"), 256).alias("base_sha256"), written(F.col("__spans.all")).alias("spans"))
 
 
 def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -139,7 +159,7 @@ def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         piece = F.when(s["start"] >= a["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.concat(a["out"], piece).alias("out")).cast(kind)
 
-    done = F.aggregate("__all", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(kind), step)
+    done = F.aggregate("__spans.all", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")).cast(kind), step)
     rest = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
-    new = F.when(F.size("__all") > 0, F.concat(done["out"], rest)).otherwise(text)
+    new = F.when(F.size("__spans.all") > 0, F.concat(done["out"], rest)).otherwise(text)
     return scanned(docs).withColumn("text", new).select(*[F.col(f"`{c}`") for c in names])
