@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,17 @@ from pyspark.sql import functions as F
 
 from colonnade.llm.columns import as_text, slices, sums, words
 
-SAMPLE, SAMPLE_BYTES = 12_000, 200_000
+SAMPLE, SAMPLE_BYTES = 8_000, 200_000
 SENTENCE = r"[.!?\n]+"
 LEAST_DOCS, LEAST_ODDS, LEAK = 4, 2.0, -11.0
+_ENDS = str.maketrans(".!?", "   ")
 _strip = regex.compile(r"^\P{L}+|\P{L}+$").sub
 
 
-def features(word: str) -> list[str]:
+@lru_cache(maxsize=200_000)
+def features(word: str) -> tuple[str, ...]:
     w = _strip("", word).lower()
-    return [f"={w}", w[:4] + "*", w[:5] + "**"] if len(w) > 5 else [f"={w}", w[:4] + "*"] if len(w) > 4 else [f"={w}"] if w else []
+    return (f"={w}", w[:4] + "*", w[:5] + "**")[: max(1, min(3, len(w) - 3))] if w else ()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,24 +50,30 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[dict[str, float], float]:
     """Weights of features, and the logit of a sentence without any."""
-    docs = [[w.split() for w in regex.split(SENTENCE, t or "")] for t in texts]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    memo: dict[str, list[str]] = {}
-    of = lambda w: memo.get(w) or memo.setdefault(w, features(w))
-    for ss, y in zip(docs, toxic):
-        seen[int(y)].update({f for s in ss for w in s for f in of(w)})
     n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
     if not min(n):
         return {}, LEAK
-    odds = lambda f: math.log((seen[1][f] + 0.1) / (n[1] + 0.2)) - math.log((seen[0][f] + 0.1) / (n[0] + 0.2))
-    chosen = {f: o for f, k in seen[1].items() if k >= LEAST_DOCS and (o := odds(f)) >= LEAST_ODDS}
-    index = {f: k for k, f in enumerate(chosen)}
+
+    def counted(label: int, among: set[str] | None) -> Counter:
+        """In how many texts of a label each feature occurs."""
+        seen: Counter = Counter()
+        for t, y in zip(texts, toxic):
+            if y == label:
+                got = {f for w in set((t or "").translate(_ENDS).split()) for f in features(w)}
+                seen.update(got if among is None else got & among)
+        return seen
+
+    # one text at a time: only features of toxic texts are ever held
+    often = Counter({f: k for f, k in counted(1, None).items() if k >= LEAST_DOCS})
+    clean = counted(0, set(often))
+    odds = lambda f: math.log((often[f] + 0.1) / (n[1] + 0.2)) - math.log((clean[f] + 0.1) / (n[0] + 0.2))
+    index = {f: k for k, f in enumerate(f for f in often if odds(f) >= LEAST_ODDS)}
     if not index:
         return {}, LEAK
-    row, column, doc, empty = [], [], [], np.zeros(len(docs))
-    for d, ss in enumerate(docs):
-        for s in ss:
-            hit = {index[f] for w in s for f in of(w) if f in index}
+    row, column, doc, empty = [], [], [], np.zeros(len(texts))
+    for d, t in enumerate(texts):
+        for s in regex.split(SENTENCE, t or ""):
+            hit = {index[f] for w in s.split() for f in features(w) if f in index}
             if hit:
                 row += [len(doc)] * len(hit)
                 column += sorted(hit)
@@ -78,10 +87,10 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[dict[str
     for k in range(1, steps + 1):
         z = b + np.bincount(row, w[column], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.minimum(quiet + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs)), -1e-9)
+        none = np.minimum(quiet + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts)), -1e-9)
         # d loss / d log(prod(1 - p)): -1 for clean documents, else e^none / (1 - e^none)
         slope = np.where(toxic == 1, np.exp(none) / -np.expm1(none), -1.0)
-        grad = np.bincount(column, (slope[doc] * -p)[row], len(w)) / len(docs) * 100 + 0.002 * w
+        grad = np.bincount(column, (slope[doc] * -p)[row], len(w)) / len(texts) * 100 + 0.002 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
         w = np.maximum(w, 0)
