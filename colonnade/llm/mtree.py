@@ -6,7 +6,8 @@ has pages of routing objects with covering radii and distances to the parent; a
 search takes pages by least possible distance, and stored distances rule out
 entries (by the triangle inequality) before any distance is computed. Scores are
 integers, so results are exact, ties included; bounds keep a slack below one
-unit of score. Blocks have a fixed size: no task grows with the table, and the
+unit of score. Queries are searched in batches: each takes the pages of a node in
+its own best-first order, and those that are at one page share its distances. Blocks have a fixed size: no task grows with the table, and the
 k best of each query and block are merged by a ranked shuffle.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
@@ -18,8 +19,6 @@ row of its own id; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from colonnade.llm.sparkio import stored
 
-PAGE, FAN, BLOCK, QUERIES = 384, 16, 8192, 8192
+PAGE, FAN, BLOCK, QUERIES = 512, 32, 16384, 8192
 
 
 class Node:
@@ -52,6 +51,7 @@ class MTree:
         d = self._distances(rows, center)
         node.radius = float(d.max(initial=0))
         node.leaf = len(rows) <= self.page or node.radius == 0
+        node.children = []
         if node.leaf:
             order = np.argsort(d, kind="stable")
             node.entries, node.ids, node.to_parent = self.points[rows[order]], self.ids[rows[order]], d[order]
@@ -59,7 +59,8 @@ class MTree:
         pivots = [int(np.argmax(d))]
         nearest = self._distances(rows, self.points[rows[pivots[0]]])
         home = np.zeros(len(rows), np.int64)
-        while len(pivots) < self.fan and nearest.max() > 0:
+        fan = min(self.fan, max(2, -(-2 * len(rows) // self.page)))
+        while len(pivots) < fan and nearest.max() > 0:
             pivots.append(int(np.argmax(nearest)))
             to = self._distances(rows, self.points[rows[pivots[-1]]])
             closer = to < nearest
@@ -69,57 +70,88 @@ class MTree:
         node.to_parent = np.sqrt(((node.entries - center) ** 2).sum(1))
         return node
 
-    def search(self, q: np.ndarray, k: int, skip: int | None = None, slack: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest (squared distances, ids), ties to smaller ids; rows of id ``skip`` don't count."""
-        near, who, worst = np.zeros(0), np.zeros(0, np.int64), np.inf
-        first = float(np.sqrt(((q - self.root.center) ** 2).sum()))
-        heap = [(max(0.0, first - self.root.radius), 0, first, self.root)]
-        n = 0
-        while heap:
-            low, _, dist, node = heapq.heappop(heap)
-            if low * low > worst + slack:
+    def search(self, queries: np.ndarray, k: int, skip: np.ndarray, slack: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the k largest inner products and their ids, in no order; -inf where there are fewer.
+
+        skip: each query's own id, whose rows don't count. Ties at the k-th place go to smaller ids.
+        """
+        state = _Search(queries, k, skip, slack, float((self.points**2).sum(1).max(initial=0)))
+        d = np.sqrt(np.maximum(((queries - self.root.center) ** 2).sum(1), 0))
+        self._visit(self.root, np.arange(len(queries)), d, state)
+        return state.score, state.ids
+
+    def _visit(self, node: Node, who: np.ndarray, dist: np.ndarray, state: _Search) -> None:
+        reach = state.reach(who)
+        if node.leaf:
+            a, b = np.searchsorted(node.to_parent, dist - reach), np.searchsorted(node.to_parent, dist + reach, "right")
+            use = a < b
+            if use.any():
+                a, b, who = int(a[use].min()), int(b[use].max()), who[use]
+                self.computed += (b - a) * len(who)
+                state.add(who, state.queries[who] @ node.entries[a:b].T, node.ids[a:b])
+            return
+        radius = np.array([c.radius for c in node.children])
+        maybe = np.abs(dist[:, None] - node.to_parent) - radius <= reach[:, None]
+        low = np.full(maybe.shape, np.inf)
+        for c in np.flatnonzero(maybe.any(0)):
+            q = np.flatnonzero(maybe[:, c])
+            low[q, c] = np.sqrt(np.maximum(((state.queries[who[q]] - node.entries[c]) ** 2).sum(1), 0))
+        self.computed += int(maybe.sum())
+        far = low
+        low = np.maximum(far - radius, 0)
+        order = np.argsort(low, 1)
+        for turn in range(len(node.children)):
+            child = order[:, turn]
+            bound = low[np.arange(len(who)), child]
+            go = bound <= state.reach(who)
+            if not go.any():
                 break
-            reach = np.sqrt(worst + slack)
-            if node.leaf:
-                a, b = np.searchsorted(node.to_parent, dist - reach), np.searchsorted(node.to_parent, dist + reach, "right")
-                if a >= b:
-                    continue
-                d2 = ((node.entries[a:b] - q) ** 2).sum(1)
-                self.computed += b - a
-                ids = node.ids[a:b]
-                use = d2 <= worst + slack
-                if skip is not None:
-                    use &= ids != skip
-                near, who = np.concatenate([near, d2[use]]), np.concatenate([who, ids[use]])
-                if len(near) > k:
-                    worst = np.partition(near, k - 1)[k - 1]
-                    keep = near <= worst + slack
-                    near, who = near[keep], who[keep]
-                elif len(near) == k:
-                    worst = near.max()
-                continue
-            radius = np.array([c.radius for c in node.children])
-            maybe = np.flatnonzero(np.abs(dist - node.to_parent) - radius <= reach)
-            d = np.sqrt(((node.entries[maybe] - q) ** 2).sum(1))
-            self.computed += len(maybe)
-            for c, x, r in zip(maybe.tolist(), d.tolist(), radius[maybe].tolist()):
-                if x - r <= reach:
-                    n += 1
-                    heapq.heappush(heap, (max(0.0, x - r), n, x, node.children[c]))
-        return near, who
+            for c in np.unique(child[go]):
+                at = np.flatnonzero(go & (child == c))
+                self._visit(node.children[c], who[at], far[at, c], state)
+
+
+class _Search:
+    """The best so far of each query of a batch."""
+
+    def __init__(self, queries: np.ndarray, k: int, skip: np.ndarray, slack: float, top: float):
+        self.queries, self.k, self.skip, self.slack = queries, k, skip, slack
+        self.score, self.ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.base = (queries**2).sum(1) + top
+
+    def reach(self, who: np.ndarray) -> np.ndarray:
+        """The distance beyond which a point can't be among a query's best."""
+        return np.sqrt(np.maximum(self.base[who] - 2 * self.score[who].min(1) + self.slack, 0))
+
+    def add(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        worst = self.score[who].min(1)
+        new = np.isneginf(worst)
+        if new.any() and score.shape[1] > 2 * self.k:  # one more than k, as the query itself may be among them
+            worst[new] = np.partition(score[new], -self.k - 1, 1)[:, -self.k - 1]
+        row, column = np.nonzero((score >= worst[:, None]) & (ids[None, :] != self.skip[who][:, None]))
+        if not len(row):
+            return
+        score, ids = score[row, column], ids[column]
+        n = np.bincount(row, minlength=len(who))
+        own = np.repeat(np.arange(len(who)), self.k)
+        r, s, i = np.concatenate([own, row]), np.concatenate([self.score[who].ravel(), score]), np.concatenate([self.ids[who].ravel(), ids])
+        order = np.lexsort((i, -s, r))
+        first = np.cumsum(n + self.k) - (n + self.k)
+        keep = order[(first[:, None] + np.arange(self.k)).ravel()]
+        self.score[who], self.ids[who] = s[keep].reshape(-1, self.k), i[keep].reshape(-1, self.k)
 
 
 def block_top_k(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """query_id, vec_id, score of each query's k best in one block (integers as doubles)."""
+    """query_id, vec_id, score of each query's k best in one block."""
     norms = (vectors**2).sum(1)
     tree = MTree(np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]), ids)
-    top, out = float(norms.max()), []
-    for q, i in zip(queries, query_ids.tolist()):
-        d2, who = tree.search(np.append(q, 0.0), k, skip=i)
-        score = np.rint((float((q**2).sum()) + top - d2) / 2).astype(np.int64)
-        best = np.lexsort((who, -score))[:k]
-        out.append(pd.DataFrame({"query_id": i, "vec_id": who[best], "score": score[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    parts = []
+    for a in range(0, len(queries), 4096):
+        q, own = queries[a : a + 4096], query_ids[a : a + 4096]
+        score, who = tree.search(np.column_stack([q, np.zeros(len(q))]), k, own)
+        there = np.isfinite(score)
+        parts.append(pd.DataFrame({"query_id": np.repeat(own, k).reshape(-1, k)[there], "vec_id": who[there], "score": np.rint(score[there]).astype(np.int64)}))
+    return pd.concat(parts)
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
