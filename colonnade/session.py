@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +25,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("colonnade") / p.relative_to(root))
     sc.addPyFile(str(at))
     sc._colonnade_shipped = True
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder in spark.checkpoint.dir, so that every later read sees the same rows.
+
+    The folder is shared by all machines; a temporary one is set only where none is.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="colonnade-"))
+    return df.checkpoint()
