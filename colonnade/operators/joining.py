@@ -14,7 +14,7 @@ BROADCAST_BYTES = 64 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's bound of a plan's output, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -38,3 +38,15 @@ def materialized(df: DataFrame) -> DataFrame:
         at = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="colonnade-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or a temporary one where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at:
+        return at
+    if not known.isDefined():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="colonnade-"))
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return known.get()
