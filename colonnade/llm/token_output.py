@@ -5,7 +5,7 @@ is the ids of whole documents in the binary layout below, so records are written
 and read by Spark's own writers in any store and a lost task is written again.
 
 record: magic "CMR1", u32 documents, u64 ids, u32 ids a block, u32 blocks,
-u32 crc32 of the table; table: i64 document ids, u32 id counts (zlib), then for
+u32 crc32 of these and the table; table: i64 document ids, u32 id counts (zlib), then for
 each block u32 bytes, u32 crc32 of its payload, u32 crc32 of its ids; payloads.
 Every block has reset models; the last is padded with id 0.
 
@@ -34,6 +34,10 @@ BLOCK = 4096
 HEAD = struct.Struct("<4sIQIII")
 
 
+def _check(fields: tuple, table: bytes) -> int:
+    return zlib.crc32(table, zlib.crc32(HEAD.pack(*fields, 0)))
+
+
 def encode_record(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = -(-len(ids) // block)
     padded = np.zeros(n * block, np.int64)
@@ -42,7 +46,8 @@ def encode_record(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, blo
     sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in padded.reshape(n, block)]
     table = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes())
     table += b"".join(struct.pack("<III", len(p), zlib.crc32(p), c) for p, c in zip(payloads, sums))
-    head = HEAD.pack(b"CMR1", len(doc_ids), len(ids), block, n, zlib.crc32(table))
+    fields = (b"CMR1", len(doc_ids), len(ids), block, n)
+    head = HEAD.pack(*fields, _check(fields, table))
     return b"".join([head, struct.pack("<I", len(table)), table, *payloads])
 
 
@@ -52,7 +57,7 @@ def decode_record(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     (size,) = struct.unpack_from("<I", raw, HEAD.size)
     at = HEAD.size + 4
     table = raw[at : at + size]
-    if magic != b"CMR1" or zlib.crc32(table) != check:
+    if magic != b"CMR1" or _check((magic, docs, total, block, n), table) != check:
         raise ValueError("not an intact record of token blocks")
     marks = np.frombuffer(table[size - 12 * n :], "<u4").reshape(n, 3) if n else np.zeros((0, 3), np.uint32)
     plain = zlib.decompress(table[: size - 12 * n])

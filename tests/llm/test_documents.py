@@ -1,0 +1,304 @@
+"""Sharding, quality, near-duplicates, secrets, toxicity, chats, search and the pipeline."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from colonnade.llm import chat, minhash, mtree, quality, secret_scan, sharding, toxicity
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_shards(docs, rows):
+    got = sharding.shard(docs, shards=5, fine=8).collect()
+    assert len(got) == len(rows)
+    text = {r[0]: r[1] for r in rows}
+    of, bytes_, slots = {}, Counter(), defaultdict(list)
+    for r in got:
+        t = text[r["doc_id"]]
+        assert r["size"] == len((t or "").encode()) + 8 and r["text_crc32"] == zlib.crc32((t or "").encode()) and r["law"] == "bytes" and r["grown_shard"] is None
+        assert of.setdefault(t, r["shard"]) == r["shard"], "equal texts stay together"
+        bytes_[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(bytes_) <= set(range(5))
+    for s in slots.values():
+        assert sorted(s) == list(range(len(s)))
+
+
+def test_shards_are_even(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('t', CAST(id AS STRING)), CAST(id % 40 AS INT))").alias("text"))
+    by = Counter()
+    for r in sharding.shard(df).collect():
+        by[r["shard"]] += r["size"]
+    assert len(by) == 24 and max(by.values()) / min(by.values()) < 1.01
+
+
+def test_shards_of_nothing(empty):
+    assert sharding.shard(empty).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=40), st.integers(1, 6))
+def test_even_bins(sizes, bins):
+    got = sharding.even_bins([(s, k) for k, s in enumerate(sizes)], bins)
+    assert set(got) == set(range(len(sizes))) and set(got.values()) <= set(range(bins))
+    loads = Counter()
+    for k, b in got.items():
+        loads[b] += sizes[k]
+    if sizes:
+        assert max(loads.values()) <= max(max(sizes), 4 * -(-sum(sizes) // bins) / 3 + max(sizes) / 3)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=40))
+def test_best_fit_uses_the_tightest_bin(sizes):
+    got = sharding.best_fit_decreasing([(s, k) for k, s in enumerate(sizes)], 30)
+    rooms = []
+    for s, k in sorted(((s, k) for k, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
+        fits = [b for b, room in enumerate(rooms) if room >= s]
+        want = min(fits, key=lambda b: (rooms[b], b)) if fits else len(rooms)
+        if not fits:
+            rooms.append(30)
+        rooms[want] -= s
+        assert got[k] == want
+
+
+def base_counts(text):
+    text = text or ""
+    words = BLANK.findall(text)
+    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    inside = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+    lines = [x for x in text.split("\n") if BLANK.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_counts(docs, rows):
+    want = Counter((r[0], *base_counts(r[1])) for r in rows)
+    got = quality.verdicts(docs).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_lines(spark):
+    prose = "This is a fine line of prose, and it ends as it should.\nSo does this one, which is the second of the two lines."
+    texts = {1: prose, 2: "Home | About | News\n" + prose, 3: "Home | About | News | More | Items | Links | Contact\n" * 1 + "Short tail", 4: "Licensed under the MIT License.\n" + prose, 5: "ALL!! OF!! THIS!! IS!! SHOUTED!! AT!! YOU!! MY!! DEAR!! FRIEND!! NOW!!", 6: None, 7: ""}
+    df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, kept string")
+    got = {r["doc_id"]: r["text"] for r in quality.clean(df).collect()}
+    assert got == {1: prose, 2: prose, 4: prose} and quality.clean(df).columns == ["doc_id", "text", "kept"]
+
+
+def test_quality_of_nothing(empty):
+    assert quality.verdicts(empty).count() == 0 and quality.clean(empty).count() == 0
+
+
+def components_by_force(rows):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for doc_id, text, *_ in rows:
+        w = BLANK.findall((text or "").translate(lower))
+        sets[doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+def test_near_duplicates(docs, rows):
+    want = components_by_force(rows)
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_near_duplicates_with_shared_passages(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(80)]
+    rows = []
+    for n in range(150):
+        rows.append((n, " ".join([word() for _ in range(rng.choice([5, 10, 14, 20, 60]))] + passage)))
+    base = [word() for _ in range(150)]
+    for n in range(150, 260):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(150)] = word()
+        rows.append((n, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_by_force(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_near_duplicates_of_nothing(empty):
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def spans_by_force(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets(spark, docs, rows):
+    more = [(9001, "é" * 5 + "😀 API_KEY='Zx81_kd.9+/=aa' secret=token=abcdefghijklmnop " + "0123456789abcdef" * 3 + "g AKIA" + "Z9" * 9, None, None, 0), (9002, "token: short PASSWD:\"longenough123\"", None, None, 0)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(r[0], r[1]) for r in more], "doc_id long, text string"))
+    text = {r[0]: r[1] for r in [*rows, *more]}
+    for r in secret_scan.scan(df).collect():
+        base = spans_by_force(text[r["doc_id"]])
+        said = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",") if said else []) <= set(r["spans"].split(","))
+
+
+def test_random_tokens_are_found_and_others_not(spark):
+    secret = "9fQx2Lr7Zk1Vb8Wn4Tc6Ys3Hd0Jg5Ma"
+    texts = {1: f"key {secret} end", 2: "zzzzzzzzzzzzzzzzzzzzzzzzzzzzz1 the-quick-brown-fox-jumps-over-1", 3: "plain prose, nothing else."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}
+    assert got == {1: "random:4:35", 2: "", 3: ""}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.masked(df).collect()}
+    assert clean[1] == "key [secret] end" and clean[3] == texts[3]
+
+
+def test_secrets_of_nothing(empty):
+    assert secret_scan.scan(empty).count() == 0 and secret_scan.masked(empty).columns == empty.columns
+
+
+def test_toxicity(spark, docs):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    sentence = lambda: " ".join(word() for _ in range(8)) + "."
+    rows, labels = [], []
+    for n in range(800):
+        bad = n % 4 == 0
+        parts = [sentence() for _ in range(6)]
+        if bad:
+            parts[rng.randrange(6)] = f"{word()} {rng.choice(['zonkiest', 'zonkiful', 'quimly'])} {word()}."
+        rows.append((n, " ".join(parts)))
+        labels.append((n, int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lb = spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(df, lb)
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    held = [n for n in got if zlib.crc32(str(n).encode()) % 5 == 0]
+    assert all(got[n]["held_out"] == (n in held) for n in got)
+    assert np.mean([got[n]["predicted"] == int(n % 4 == 0) for n in held]) > 0.97
+    hits = toxicity.sentences(df, model).collect()
+    assert all("zonki" in r["text"] or "quimly" in r["text"] for r in hits) and len({r["doc_id"] for r in hits}) > 190
+    odd = toxicity.score(docs, model).collect()
+    assert all(0 <= r["score"] <= 1 for r in odd) and len(odd) == docs.count()
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+
+
+def test_toxicity_without_labels(spark, empty):
+    model = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert model.weights == {} and toxicity.score(empty, model).count() == 0
+
+
+def test_chats(spark):
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(1, 0, "system", "be <\\| brief <\\\\|"), (1, 1, "user", None), (1, 2, "assistant", said), (1, 2, "assistant", "again é😀"), (2, 5, "user\nx<|", "<"), (2, 4, None, "|"), (None, 0, "assistant", "<\\"), (3, 0, "user", "hi"), (3, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for conv in (1, 2, 3, None):
+        turns = sorted([(t, r or "", x or "") for c, t, r, x in rows if c == conv])
+        r, loss = got[conv], "".join(x for _, role, x in turns if role == "assistant")
+        assert r["n_turns"] == len(turns) and r["turns_sha256"] == sha("".join(f"{role}\n{x}\n" for _, role, x in turns))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
+    assert chat.digests(chat.format_chats(df.where("turn > 99"))).count() == 0
+
+
+def test_chat_parts(spark):
+    parts = [("text", "look <|image|> ", None, None), ("image", None, "a.png", 64), ("audio", None, "b.wav", 25), ("document", None, "c.pdf", 2), ("video", None, "d", None), ("text", "end", None, None)]
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    r = chat.format_chats(df).collect()[0]
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "a.png", 64), ("audio", "b.wav", 25), ("document", "c.pdf", 1600), ("document", "d", 800)]
+    assert r["expanded_tokens"] == 64 + 25 + 2400
+    body = r["segments"][1]["text"]
+    assert re.findall(r"<\|(\w+)\|>", body) == ["image", "audio", "document", "document"]
+    read = chat.read_chats(chat.format_chats(df)).collect()[0]
+    assert [tuple(t) for t in read["turns"]] == [("user", "look <|image|> end"), ("assistant", "")]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    data = [(n, [float(x) for x in rng.normal(size=6) * (n % 5)]) for n in range(300)]
+    data += [(300, None), (301, []), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [float("inf")] * 6), (40, data[40][1]), (305, [0.0] * 6), (340, data[20][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("v", F.lit(0))
+    good = [(n, np.floor(64 * np.array(v))) for n, v in data if n < 300 or n in (305, 340)]
+    for block, lots in ((8192, 8192), (40, 6)):
+        got = defaultdict(list)
+        for r in mtree.top_k(df, block=block, queries=lots).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        asked = [(n, v) for n, v in good if n % 20 == 0 and n != 40]
+        for n, v in asked:
+            want = sorted(((int(v @ w), m) for m, w in good if m != n), key=lambda x: (-x[0], x[1]))[:20]
+            assert got[n] == [(m, s) for s, m in want]
+
+
+def test_metric_tree_prunes():
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(20, 8)) * 100
+    points = (centers[rng.integers(0, 20, 5000)] + rng.normal(size=(5000, 8))).round()
+    norms = (points**2).sum(1)
+    tree = mtree.MTree(np.column_stack([points, np.sqrt(norms.max() - norms)]), np.arange(5000), page=64, fan=8)
+    q = points[:40]
+    score, ids = tree.search(np.column_stack([q, np.zeros(40)]), 5, np.full(40, -1))
+    for k in range(40):
+        want = sorted(((-(q[k] @ p), m) for m, p in enumerate(points)))[:5]
+        assert sorted(zip(-score[k], ids[k])) == [(s, m) for s, m in want]
+    assert tree.computed < 0.7 * 40 * 5000
+
+
+def test_top_k_of_nothing(spark):
+    assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+    from colonnade.llm.queries import ORACLE_SQL, QUERIES
+
+    assert len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    steps = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, steps, sf)
+        assert out.columns == docs.columns, name
+        steps = spark.createDataFrame(out.collect(), docs.schema)
+        now = [tuple(r) for r in steps.collect()]
+        if name == "quality_rules":
+            assert all(base_counts(next(r[1] for r in rows if r[0] == d))[0] >= 10 for d, *_ in now)
+        if name == "minhash_near_dedup":
+            assert all(d == c for d, (_, c) in components_by_force(before).items() if d in {r[0] for r in now}) and len(now) == len({c for _, c in components_by_force(before).values()})
+        before = now
+    packed = corpus_pipeline.run(spark, sf)
+    assert {r["doc_id"] for r in packed.collect()} == {r[0] for r in before}
