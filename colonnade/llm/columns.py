@@ -26,16 +26,17 @@ def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about SLICE_BYTES of text, and one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``limit`` bytes of text, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // SLICE_BYTES
+        part = (np.cumsum(size) - size) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(int(a), int(b - a))
+        pa.default_memory_pool().release_unused()
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -3,14 +3,14 @@
 1. Each text becomes its set of five-word shingles, hashed by one function; the
    K least hashes are its sketch. Texts of one set are one class from here on.
 2. A pair at the threshold shares at least SHARED of its sketches' values (the
-   chance that it doesn't is under 1e-7), so it shares one of each sketch's
+   chance that it doesn't is about 1e-5 at the threshold, and under 1e-9 at 0.9), so it shares one of each sketch's
    len - SHARED + 1 first values in any common order. The order is by how often
    a value (or one of its hash bucket) is retained, rarest first; those values
    alone go to inverted lists, so what many documents share makes no long lists.
 3. Each list names its most central class; pairs with it are filtered by the
    union sketch's estimate and verified on full sets. Components follow.
 4. Lists whose classes lie in several components give the pairs between
-   those components; these too are filtered and verified. Pairs inside a
+   those components whose sizes and sketches allow it; these too are verified. Pairs inside a
    component can add nothing, so a group of copies costs its size, not its square.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from colonnade.llm.columns import as_text, hashed, mixed, slices, windows, words
 from colonnade.llm.sparkio import stored
 
-K, SHARED, WORDS, BUCKETS = 48, 26, 5, 1 << 18
+K, SHARED, WORDS, BUCKETS, BLOCK = 64, 41, 5, 1 << 18, 512
 SIGN = np.uint64(1 << 63)
 
 
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, fp (of the whole set), sketch (its k least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             sets = shingle_sets(as_text(batch.column("text")), n)
             fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), as_longs([s[:k] for s in sets])], ["doc_id", "n_shingles", "fp", "sketch"])
@@ -77,7 +77,7 @@ def sketches(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, counts: np.ndarray, percent: int, shared: int) -> DataFrame:
-    """value, rep, score: the values of each class that go to inverted lists, rarest first."""
+    """value, rep, n, score: the values of each class that go to inverted lists, rarest first."""
     spread = classes.sparkSession.sparkContext.broadcast(counts)  # BUCKETS counts, at any size of table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +96,10 @@ def prefixes(classes: DataFrame, counts: np.ndarray, percent: int, shared: int)
             use = order[rank < (size - need + 1)[row]]
             score = np.add.reduceat(count, at[:-1]) / size
             rep = batch.column("rep").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(rep[row[use]]), pa.array(score[row[use]].astype(np.int64))], ["value", "rep", "score"])
+            size = batch.column("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(rep[row[use]]), pa.array(size[row[use]]), pa.array(score[row[use]].astype(np.int64))], ["value", "rep", "n", "score"])
 
-    return classes.select("rep", "sketch").mapInArrow(run, "value long, rep long, score long")
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "value long, rep long, n long, score long")
 
 
 def union_estimate(a: list, b: list, k: int) -> np.ndarray:
@@ -127,30 +128,41 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs whose full sets have percent * union <= 100 * intersection."""
+def verified(pairs: DataFrame, docs: DataFrame, sketch_of: DataFrame, percent: int, n: int, block: int = BLOCK) -> DataFrame:
+    """The pairs whose full sets have percent * union <= 100 * intersection.
+
+    Documents of one least hash are likely partners; they form blocks of about
+    ``block`` documents, and a set is sent once to each pair of blocks that has
+    a pair with it, instead of once for each pair.
+    """
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    least = sketch_of.join(ids, "rep", "left_semi").select("rep", F.col("sketch")[0].alias("least"))
+    least = stored(least.groupBy("rep").agg(F.min("least").alias("least")), "blocks")
+    many = least.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts"))
+    of = least.join(many, "least").select("rep", F.xxhash64("least", F.pmod(F.xxhash64("rep"), F.col("cuts"))).alias("block"))
+    side = lambda c: of.select(F.col("rep").alias(c), F.col("block").alias(f"block_{c}"))
+    placed = stored(pairs.join(side("a"), "a").join(side("b"), "b"), "placed")
+    needs = placed.select(F.col("block_a").alias("for_a"), F.col("block_b").alias("for_b"), F.explode(F.array("a", "b")).alias("need")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_longs(shingle_sets(as_text(batch.column("text")), n))], ["id", "set"])
 
-    sets = stored(texts.mapInArrow(run, "id long, set array<long>"), "sets")
+    sets = texts.mapInArrow(run, "id long, set array<long>")
+    sets = sets.join(needs, F.col("id") == F.col("need")).select("id", "set", "for_a", "for_b")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("xa"), batch.column("xb")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
+        known = dict(zip(held["id"].to_pylist(), (x.values.to_numpy() for x in held["set"])))
+        keep = []
+        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist()):
+            same = len(np.intersect1d(known[a], known[b], assume_unique=True))
+            keep.append(100 * same >= percent * (len(known[a]) + len(known[b]) - same))
+        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"x{c}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(near, "a long, b long"), "links")
+    groups = placed.groupBy("block_a", "block_b").cogroup(sets.groupBy("for_a", "for_b"))
+    return stored(groups.applyInArrow(near, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,30 +187,37 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, shared: int = SHARED, n: int = WORDS, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     base = stored(sketches(docs, k, n), "sketches")
-    classes = base.where("n_shingles > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("m"))
-    classes = stored(classes.select("fp", F.col("m.doc_id").alias("rep"), F.col("m.sketch").alias("sketch")), "classes")
+    reps = stored(base.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    # of rows that share an id and a set, any one will do
+    classes = base.join(reps, (base["fp"] == reps["fp"]) & (base["doc_id"] == reps["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
     bucket = F.col("value").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")
-    held = classes.select(F.explode("sketch").alias("value")).groupBy(bucket).count()
+    held = base.select(F.explode("sketch").alias("value")).groupBy(bucket).count()
     got = held.toPandas()  # one row for each bucket
     counts = np.zeros(buckets, np.int64)
     counts[got["bucket"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    lists = stored(prefixes(classes, counts, percent, shared), "lists")
-    centre = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"))).alias("c"), F.count(F.lit(1)).alias("n"))
-    centre = centre.where("n > 1").select("value", (-F.col("c.r")).alias("centre"))
-    shared_lists = stored(lists.join(centre, "value").select("value", "rep", "centre"), "shared")
+    lists = stored(prefixes(classes, counts, percent, shared).distinct(), "lists")
+    centre = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count(F.lit(1)).alias("m"))
+    centre = centre.where("m > 1").select("value", (-F.col("c.r")).alias("centre"), F.col("c.n").alias("cn"))
+    shared_lists = stored(lists.join(centre, "value").select("value", "rep", "n", "centre", "cn"), "shared")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = shared_lists.where("rep <> centre").select(*pair("rep", "centre")).distinct()
-    links = verified(likely(stars, classes, k, shared), docs, percent, n)
+    # sets of very different sizes can't be near: an exact test that needs no set
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    stars = shared_lists.where("rep <> centre").where(alike(F.col("n"), F.col("cn"))).select(*pair("rep", "centre")).distinct()
+    sketch_of = base.select(F.col("doc_id").alias("rep"), "sketch").join(reps.select("rep"), "rep", "left_semi")
+    links = verified(likely(stars, sketch_of, k, shared), docs, sketch_of, percent, n)
     labels = components(links)
-    known = shared_lists.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("value", "rep", F.coalesce("label", "rep").alias("label"))
+    known = shared_lists.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("value", "rep", "n", F.coalesce("label", "rep").alias("label"))
     several = known.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("value")
-    open_lists = stored(known.join(several, "value", "left_semi"), "open")
+    # the sketches travel with the lists, so that a pair is judged where it is met and never sent
+    open_lists = known.join(several, "value", "left_semi").join(sketch_of, "rep")
+    open_lists = stored(open_lists.withColumn("need", F.least(F.lit(shared), F.ceil(F.size("sketch") * percent / 100))), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    between = x.join(y, F.col("x.value") == F.col("y.value")).where("x.label < y.label").select(*pair("x.rep", "y.rep")).distinct()
-    between = between.join(stars, ["a", "b"], "left_anti")
-    more = verified(likely(between, classes, k, shared), docs, percent, n)
+    near = (F.col("x.label") < F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))
+    near = near & (F.size(F.array_intersect("x.sketch", "y.sketch")) >= F.greatest("x.need", "y.need"))
+    between = x.join(y, (F.col("x.value") == F.col("y.value")) & near).select(*pair("x.rep", "y.rep")).distinct()
+    more = verified(between.join(stars, ["a", "b"], "left_anti"), docs, sketch_of, percent, n)
     labels = components(links.union(more))
-    of = classes.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
+    of = reps.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

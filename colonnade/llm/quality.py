@@ -102,7 +102,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             got = measured(as_text(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[k]) for k in FIELDS)], ["doc_id", *FIELDS])
 
@@ -116,7 +116,7 @@ def clean(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             got = measured(as_text(batch.column(at)))
             columns = [cleaned(got).cast(batch.schema.field(k).type) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(got["kept"]))

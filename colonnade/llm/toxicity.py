@@ -105,8 +105,8 @@ class Model:
     def word(self, w: str) -> float:
         got = self.known.get(w)
         if got is None:
-            got = sum(self.weights.get(f, 0.0) for f in features(w))
-            if len(self.known) < 300_000:
+            got = sum(self.weights.get(f, 0.0) for f in features.__wrapped__(w))
+            if len(self.known) < 200_000:
                 self.known[w] = got
         return got
 
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             p = model.scores(as_text(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
@@ -150,7 +150,7 @@ def sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, sentence (its number), score, text of the sentences that offend."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             text, z, at = model.logits(as_text(batch.column("text")))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             hit = np.flatnonzero(p >= least)
@@ -165,7 +165,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             yield batch.filter(pa.array(model.scores(as_text(batch.column(at))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
