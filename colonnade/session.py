@@ -16,6 +16,8 @@ def ship(spark: SparkSession) -> None:
     installed copy is needed; a copy on their own path takes precedence.
     """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default: too many whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if getattr(sc, "_colonnade_shipped", False):
         return
     root = Path(__file__).resolve().parent
