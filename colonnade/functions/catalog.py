@@ -354,3 +354,15 @@ _add(
     ("replace_with_mask", f"CASE WHEN b IS NULL THEN NULL WHEN b THEN get(array(10L, 20L, 30L), CAST(count_if(b) {_run} - 1 AS INT)) ELSE i END", f"CASE WHEN b IS NULL THEN NULL WHEN b THEN [10, 20, 30][count(*) FILTER (WHERE b) {_run}] ELSE i END"),
 )
 FUNCTIONS["rank_quantile"] = Function("rank_quantile", "order", "((rank() OVER (ORDER BY i NULLS LAST) + count(*) OVER (ORDER BY i NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0D - 0.5D) / count(*) OVER ()", "((rank() OVER (ORDER BY i NULLS LAST) + count(*) OVER (ORDER BY i NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0 - 0.5) / count(*) OVER ()", "window", True)
+
+#: q and r are decimals of 12 digits, 3 of them behind the point.
+_add(
+    "decimals", "scalar",
+    ("decimal_add", "q + r", "="), ("decimal_subtract", "q - r", "="), ("decimal_multiply", "q * r", "CAST(q * r AS DECIMAL(25,6))"), ("decimal_negate", "-q", "="), ("decimal_abs", "abs(q)", "="), ("decimal_sign", "CAST(signum(q) AS INT)", "CAST(sign(q) AS INTEGER)"),
+    ("decimal_round", "CAST(round(q, 1) AS DECIMAL(12,1))", "CAST(round(q, 1) AS DECIMAL(12,1))"), ("decimal_ceil", "CAST(ceil(q) AS BIGINT)", "CAST(ceil(q) AS BIGINT)"), ("decimal_floor", "CAST(floor(q) AS BIGINT)", "CAST(floor(q) AS BIGINT)"),
+    ("decimal_truncate", "CAST(CASE WHEN q < 0 THEN ceil(q) ELSE floor(q) END AS BIGINT)", "CAST(trunc(q) AS BIGINT)"), ("decimal_widen", "CAST(q AS DECIMAL(20,5))", "="), ("decimal_narrow", "CAST(q AS DECIMAL(10,2))", "="), ("decimal_to_double", "CAST(q AS DOUBLE)", "="), ("double_to_decimal", "CAST(y AS DECIMAL(10,2))", None),
+    *((f"decimal_{k}", f"q {op} r", "=") for k, op in (("equal", "="), ("not_equal", "<>"), ("less", "<"), ("less_equal", "<="), ("greater", ">"), ("greater_equal", ">="))),
+    ("fixed_binary_equal", "encode(s, 'utf-8') = encode(p, 'utf-8')", "s = p"), ("fixed_binary_hash64", "CASE WHEN s IS NOT NULL THEN xxhash64(encode(s, 'utf-8')) END", None),
+    ("interval_field", "extract(DAY FROM make_dt_interval(n, 1, 0, 0))", "n"), ("subtract_timestamps", "unix_micros(CAST(ts2 AS TIMESTAMP)) - unix_micros(CAST(ts AS TIMESTAMP))", "epoch_us(ts2) - epoch_us(ts)"),
+)
+_add("decimals", "agg", ("decimal_sum", "sum(q)", "CAST(sum(q) AS DECIMAL(22,3))"), ("decimal_min", "min(q)", "="), ("decimal_max", "max(q)", "="))

@@ -21,6 +21,8 @@ SELECT event_id AS pos, user_id % 50 AS g,
   CASE event_id % 14 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  padded  ' WHEN 3 THEN 'straße' WHEN 4 THEN 'Hello World' WHEN 5 THEN '12345'
        WHEN 6 THEN 'HELLO' WHEN 7 THEN 'hello' WHEN 8 THEN 'Élan vital' WHEN 9 THEN chr(9) || ' ' || chr(10) WHEN 10 THEN 'a-b_c 1' WHEN 11 THEN '+42' WHEN 12 THEN 'x²½' ELSE event_type END AS s,
   CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 2 = 0 THEN '12' ELSE event_type END AS p,
+  CASE WHEN event_id % 15 = 0 THEN NULL ELSE CAST((event_id % 977) * 1.125 - 500 AS DECIMAL(12,3)) END AS q,
+  CAST(event_id % 20 AS DECIMAL(12,3)) AS r,
   CASE WHEN event_id % 43 = 0 THEN NULL ELSE ts END AS ts,
   CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL '40' DAY ELSE ts - INTERVAL '1' HOUR END AS ts2
 """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions.catalog import FUNCTIONS, Function
 
-ARGUMENTS = ("i", "j", "x", "y", "b", "c", "s", "p", "n", "ts", "ts2", "arr", "sarr", "m", "st", "pos")
+ARGUMENTS = ("i", "j", "x", "y", "b", "c", "s", "p", "n", "ts", "ts2", "arr", "sarr", "m", "st", "q", "r", "pos")
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|(?<![.\w])[A-Za-z_]\w*(?!\s*\()")
 
 

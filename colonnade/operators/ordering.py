@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from colonnade.functions.expressions import multiply
 from colonnade.session import materialized
 
 FLOAT_ORDERS = ("ieee", "total", "nan_largest")
@@ -90,3 +93,40 @@ def global_cumulative(df: DataFrame, value: str, order: Sequence[str], kind: str
     before = totals.select("__part", fold("__total").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
     out = inside.join(F.broadcast(before), "__part")
     return out.withColumn(name, F.when(F.col(value).isNotNull(), join(F.col("__before"), F.col("__upto")))).drop("__part", "__upto", "__before")
+
+
+def global_cumulative_product(df: DataFrame, value: str, order: Sequence[str], checked: bool = False, name: str = "cumulative") -> DataFrame:
+    """A running product of all rows in an order, in 64 bits: it wraps, or raises if ``checked``.
+
+    Nulls stay null and are skipped. Each range partition is multiplied up in one
+    pass; what precedes a partition is one number for each partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn(name, F.col(value).cast("long"))
+    names = ranged.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, size = np.int64(1), 1.0
+        for batch in batches:
+            column = batch.column(names.index(name))
+            v = column.fill_null(1).to_numpy(zero_copy_only=False)
+            if checked and len(v) and np.abs(size * np.cumprod(v.astype(np.float64))).max() >= 2.0**63:
+                raise OverflowError("overflow")
+            with np.errstate(over="ignore"):
+                product = np.multiply.accumulate(np.concatenate([[carry], v]))[1:]
+            if len(v):
+                carry, size = product[-1], size * float(np.prod(v.astype(np.float64)))
+            columns = [pa.array(product, mask=column.is_null().to_numpy(zero_copy_only=False)) if k == name else c for k, c in zip(names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    inside = materialized(ranged.mapInArrow(run, ranged.schema))
+    last = inside.where(F.col(name).isNotNull()).groupBy("__part").agg(F.max_by(name, F.struct(*order)).alias("t"))
+    before, product, rows = {}, 1, sorted((r["__part"], r["t"]) for r in last.collect())  # one row for each partition
+    for part, total in rows:
+        before[part] = product
+        product *= total
+        if checked and abs(product) >= 2**63:
+            raise OverflowError("overflow")
+        product = (product + 2**63) % 2**64 - 2**63
+    found = df.sparkSession.createDataFrame(list(before.items()) or [(-1, 1)], "__part int, __before long")
+    return inside.join(F.broadcast(found), "__part", "left").withColumn(name, multiply(F.col(name), F.col("__before"))).drop("__part", "__before")

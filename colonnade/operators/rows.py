@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,38 @@ def winsorize(df: DataFrame, column: str, lower: float, upper: float) -> DataFra
     out = df.join(F.broadcast(ends))  # one row
     clamped = F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), F.col("__lo")), F.col("__hi")))
     return out.withColumn(column, clamped).drop("__lo", "__hi")
+
+
+def drop_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+    return df.na.drop(subset=list(subset) if subset else None)
+
+
+def filter_rows(df: DataFrame, mask: str) -> DataFrame:
+    """Rows whose mask is true; a null mask drops the row."""
+    return df.where(mask)
+
+
+def sort_indices(df: DataFrame, by: Sequence[str], pos: str, descending: Sequence[bool] = ()) -> DataFrame:
+    """Positions in sorted order, with their rank from 0; ties stay in the order of positions."""
+    from colonnade.operators.ordering import with_positions
+
+    down = [*descending, *[False] * (len(by) - len(descending))]
+    keys = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in zip(by, down)]
+    return with_positions(df.select(pos, *[c for c in by if c != pos]), [*keys, F.col(pos).asc()], "rank").select("rank", pos)
+
+
+def random_column(df: DataFrame, seed: int, name: str = "random") -> DataFrame:
+    """Uniform values in [0, 1), the same for a seed and a partitioning."""
+    return df.withColumn(name, F.rand(seed))
+
+
+def random_rows(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    return random_column(spark.range(n), seed)
+
+
+#: Functions of whole tables, by the names that column functions of this kind have.
+TABLE_FUNCTIONS = {
+    "indices_nonzero": indices_nonzero, "take": take, "array_take": take, "inverse_permutation": inverse_permutation, "scatter": scatter, "unique": unique, "value_counts": value_counts,
+    "dictionary_encode": dictionary_encode, "dictionary_decode": dictionary_decode, "list_flatten": list_flatten, "list_parent_indices": list_parent_indices, "run_end_encode": run_end_encode,
+    "run_end_decode": run_end_decode, "search_sorted": search_sorted, "winsorize": winsorize, "drop_null": drop_null, "filter": filter_rows, "array_filter": filter_rows, "sort_indices": sort_indices, "random": random_rows,
+}

@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _q(sql: str | None):
+def _q(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -276,3 +276,48 @@ def rollup_extra(spark, d):
 @_q("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def except_extra(spark, d):
     return _t(spark, d, "customer").df.select("c_custkey").subtract(_t(spark, d, "orders").df.select("o_custkey"))
+
+
+@_q("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS BIGINT) AS rank FROM orders")
+def sort_indices(spark, d):
+    return rows.sort_indices(_t(spark, d, "orders").df, ["o_orderpriority", "o_totalprice"], "o_orderkey", [False, True])
+
+
+@_q("SELECT event_id, props FROM events WHERE props IS NOT NULL AND event_id IS NOT NULL")
+def drop_null(spark, d):
+    return rows.drop_null(_t(spark, d, "events").df.select("event_id", "props"))
+
+
+@_q("SELECT event_id FROM events WHERE CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END")
+def filter_null_mask(spark, d):
+    return rows.filter_rows(_t(spark, d, "events").df.select("event_id"), "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END")
+
+
+@_q("SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE list_product(list_transform(range(0, n_nationkey + 1), lambda k: CASE WHEN k % 5 = 4 THEN 1 ELSE k % 3 + 1 END)) END AS BIGINT) AS cumulative FROM nation")
+def cumulative_prod(spark, d):
+    n = _t(spark, d, "nation").df.select("n_nationkey", F.expr("CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_nationkey % 3 + 1 END").alias("v"))
+    return ordering.global_cumulative_product(n, "v", ["n_nationkey"]).select("n_nationkey", "cumulative")
+
+
+@_q(ORACLE_SQL["cumulative_prod"])
+def cumulative_prod_checked(spark, d):
+    n = _t(spark, d, "nation").df.select("n_nationkey", F.expr("CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_nationkey % 3 + 1 END").alias("v"))
+    return ordering.global_cumulative_product(n, "v", ["n_nationkey"], checked=True).select("n_nationkey", "cumulative")
+
+
+@_q()
+def rank_normal(spark, d):
+    from colonnade.functions.registry import call
+
+    e = _t(spark, d, "events").df.select("event_id", "user_id", "value")
+    return e.select("event_id", unicode.normal_ppf(call("rank_quantile", i="value", by="user_id")).alias("rank_normal"))
+
+
+@_q("SELECT CAST(count(*) AS BIGINT) AS n, true AS inside FROM range(1000)")
+def random_values(spark, d):
+    return rows.random_rows(spark, 1000, 42).agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("random") >= 0) & (F.col("random") < 1)).alias("inside"))
+
+
+@_q("SELECT o_orderkey, CAST(round(o_totalprice, 2) AS DECIMAL(15,2)) AS v FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def slice_rows(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", ("v", F.round("o_totalprice", 2).cast("decimal(15,2)"))).slice(100, 50, ["o_orderkey"]).df
