@@ -158,7 +158,7 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = stored(parts, "pieces")
     counts = {r[0]: r[1] for r in parts.where(F.col("length") < window).groupBy("length").count().collect()}
     runs, windows = best_fit_runs(counts, window)
-    ranked = numbered(parts, ["length"], ["doc_id", "start", "ids_crc32"], "rank", salts=16)
+    ranked = numbered(parts, ["length"], ["doc_id", "start", "ids_crc32"], "rank")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     return ranked.select(*columns, "rank").mapInArrow(placer(runs, windows, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -144,5 +144,5 @@ def shard(docs: DataFrame, shards: int = 24, overhead: int = 8, fine: int = FINE
     out = rows.withColumn("__atom", F.pmod(F.xxhash64("group"), F.lit(shards * fine)).cast("string"))
     out = out.join(big, "group", "left").join(null_group, "group", "left").join(atom, "__atom", "left")
     out = out.withColumn("shard", F.coalesce("__big", "__null", "__small"))
-    out = numbered(out.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32"], "slot", salts=256)
+    out = numbered(out.select("doc_id", "size", "text_crc32", "shard"), ["shard"], ["doc_id", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

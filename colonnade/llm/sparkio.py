@@ -41,21 +41,21 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, salts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, part_rows: int = 200_000) -> DataFrame:
     """Adds out: a gapless number from 0 within each group.
 
-    Rows of a group are dealt to ``salts`` parts by a hash of their order
-    columns, numbered within each part, and moved on by the sizes of the parts
-    before. So a group that holds a third of all rows is numbered by many
-    tasks. What is broadcast has at most salts rows a group: use it where the
-    groups are bounded in number.
+    A group is dealt to parts of about ``part_rows`` rows by a hash of its order
+    columns, its rows are numbered within each part, and moved on by the sizes of
+    the parts before. So a group that holds a third of all rows is numbered by
+    many tasks. Groups have to be bounded in number: what is broadcast is one row
+    for each group, and one for each part_rows rows besides.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
-    marked = df.withColumn("__part", part)
+    size = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("__cuts"))
+    marked = df.join(F.broadcast(size), group).withColumn("__part", F.pmod(F.xxhash64(*order), F.col("__cuts"))).drop("__cuts")
     inside = marked.withColumn("__n", F.row_number().over(W.partitionBy(*group, "__part").orderBy(*order)).cast("long") - 1)
     count = marked.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__c"))
     before = count.select(*group, "__part", (F.sum("__c").over(W.partitionBy(*group).orderBy("__part")) - F.col("__c")).alias("__b"))
-    return inside.join(F.broadcast(before), [*group, "__part"]).withColumn(out, F.col("__n") + F.col("__b")).drop("__part", "__n", "__b", "__c")
+    return inside.join(F.broadcast(before), [*group, "__part"]).withColumn(out, F.col("__n") + F.col("__b")).drop("__part", "__n", "__b")
 
 
 def unsigned_crc32(text: Column) -> Column:
