@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sketch_of: DataFrame, percent: i
     """
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    least = sketch_of.join(ids, "rep", "left_semi").select("rep", F.col("sketch")[0].alias("least"))
+    least = sketch_of.select("rep", F.col("sketch")[0].alias("least")).join(ids, "rep", "left_semi")
     least = stored(least.groupBy("rep").agg(F.min("least").alias("least")), "blocks")
     many = least.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts"))
     of = least.join(many, "least").select("rep", F.xxhash64("least", F.pmod(F.xxhash64("rep"), F.col("cuts"))).alias("block"))
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, shared: int
     reps = stored(base.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     # of rows that share an id and a set, any one will do
     classes = base.join(reps, (base["fp"] == reps["fp"]) & (base["doc_id"] == reps["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
+    classes = stored(classes, "class-sketches")
     bucket = F.col("value").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")
     held = base.select(F.explode("sketch").alias("value")).groupBy(bucket).count()
     got = held.toPandas()  # one row for each bucket
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, shared: int
     # sets of very different sizes can't be near: an exact test that needs no set
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = shared_lists.where("rep <> centre").where(alike(F.col("n"), F.col("cn"))).select(*pair("rep", "centre")).distinct()
-    sketch_of = base.select(F.col("doc_id").alias("rep"), "sketch").join(reps.select("rep"), "rep", "left_semi")
+    sketch_of = classes.select("rep", "sketch")
     links = verified(likely(stars, sketch_of, k, shared), docs, sketch_of, percent, n)
     labels = components(links)
     known = shared_lists.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("value", "rep", "n", F.coalesce("label", "rep").alias("label"))
