@@ -3,16 +3,19 @@
 A document is toxic if one sentence is: 1 - prod(1 - p) over its sentences. p is
 logistic in the sentence's words and their stems (the first four and five
 letters), so that unseen endings of a known stem count. Features that labels tie
-to toxicity are chosen from a sample; their weights and the leak of an empty
-sentence are fitted to the noisy-or likelihood. ``sentences`` shows where.
+to toxicity are chosen from a sample; their weights are fitted to the noisy-or
+likelihood. LEAK, the logit of a sentence without any, is a constant that training
+starts from; scores divide it out of the product, so that such sentences add
+nothing, however many a text has.
+``sentences`` shows where.
 
 The sample is bounded: at most SAMPLE labelled documents, the first by a hash of
 their ids, of at most SAMPLE_BYTES bytes each. Every text is scored whole.
 
-Defined results: a null or empty text scores the leak of one empty sentence;
+Defined results: a null or empty text scores 0; a feature counts once a sentence;
 labels of unknown documents and null labels are ignored, of several labels the
-largest holds; without a label of either kind every score is the leak; rows are
-scored independently. Extra columns are ignored, or pass through ``keep_clean``.
+largest holds; without a label of either kind every score is 0; rows are scored
+independently. Extra columns are ignored, or pass through ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.columns import as_text, slices, sums, words
+from colonnade.llm.columns import as_text, offsets, ranges, slices, sums, words
 
 SAMPLE, SAMPLE_BYTES = 8_000, 200_000
 SENTENCE = r"[.!?\n]+"
@@ -100,28 +103,41 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[dict[str
 class Model:
     def __init__(self, weights: dict[str, float], leak: float):
         self.weights, self.leak = weights, leak
-        self.known: dict[str, float] = {}
+        self.index = {f: k for k, f in enumerate(weights)}
+        self.values = np.fromiter(weights.values(), np.float64, len(weights))
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def word(self, w: str) -> float:
+    def word(self, w: str) -> tuple[int, ...]:
+        """The numbers of a word's features that have a weight."""
         got = self.known.get(w)
         if got is None:
-            got = sum(self.weights.get(f, 0.0) for f in features.__wrapped__(w))
+            got = tuple(self.index[f] for f in features.__wrapped__(w) if f in self.index)
             if len(self.known) < 200_000:
                 self.known[w] = got
         return got
 
     def logits(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """All sentences, their logits, and each text's offsets. A word that a sentence repeats counts each time."""
+        """All sentences, their logits, and each text's offsets. A feature that a sentence repeats counts once, as in training."""
         parts = pc.split_pattern_regex(texts, SENTENCE)
         at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         sentences = parts.flatten()
         codes, names, bounds = words(sentences)
-        score = np.fromiter(map(self.word, names.to_pylist()), np.float64, len(names))
-        return sentences, self.leak + sums(score[codes] if len(names) else np.zeros(0), bounds), at
+        of = [self.word(w) for w in names.to_pylist()]
+        n = np.fromiter(map(len, of), np.int64, len(of))
+        z = np.full(len(sentences), self.leak)
+        hit = np.flatnonzero(n[codes] > 0) if len(names) else np.zeros(0, np.int64)
+        if len(hit):
+            flat, start, code = np.fromiter((k for ks in of for k in ks), np.int64, int(n.sum())), offsets(n)[:-1], codes[hit]
+            sentence = np.repeat(np.searchsorted(bounds, hit, "right") - 1, n[code])
+            pair = np.unique(sentence * len(self.values) + flat[ranges(start[code], n[code])])
+            z += np.bincount(pair // len(self.values), self.values[pair % len(self.values)], len(z))
+        return sentences, z, at
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         _, z, at = self.logits(texts)
-        return -np.expm1(sums(-np.logaddexp(0, np.clip(z, -30, 30)), at))
+        # what each sentence adds beyond the leak: exactly nothing where it has no feature
+        none = np.logaddexp(0, self.leak) - np.logaddexp(0, np.clip(z, -30, 30))
+        return np.maximum(-np.expm1(sums(none, at)), 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:

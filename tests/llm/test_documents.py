@@ -216,6 +216,17 @@ def test_toxicity(spark, docs):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def test_toxicity_of_long_texts(spark):
+    model = toxicity.Model({"=zonk": 12.0, "=bilge": 6.0, "bilg*": 3.0}, toxicity.LEAK)
+    clean = "\n".join(f"this is line {k} of a clean text" for k in range(100_000))
+    texts = {1: clean, 2: clean + "\nwhat a zonk", 3: "bilge", 4: "bilge and bilge, " * 2000, 5: "\n" * 100_000, 6: None, 7: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["predicted"], r["score"]) for r in toxicity.score(df, model).collect()}
+    assert {k: p for k, (p, _) in got.items()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert got[1][1] == got[5][1] == got[6][1] == got[7][1] == 0 and got[4][1] == pytest.approx(got[3][1])
+    assert {r["doc_id"] for r in toxicity.keep_clean(df, model).collect()} == {1, 3, 4, 5, 6, 7}
+
+
 def test_toxicity_without_labels(spark, empty):
     model = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.weights == {} and toxicity.score(empty, model).count() == 0
