@@ -16,7 +16,8 @@
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a
 text of one to four words is one shingle; without words n_shingles is 0, the
 document is its own component; rows that share a doc_id are one document, ties
-go to the smaller doc_id; extra columns are ignored.
+go to the smaller doc_id; extra columns are ignored. ``one_of_each`` takes every
+row as a document of its own, whatever its doc_id, null ones included.
 """
 
 from __future__ import annotations
@@ -222,3 +223,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, shared: int
     out = base.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
+    """One row of each component of rows, with all its columns: the least doc_id's, null after all others.
+
+    Rows are told apart by a number of their own, so null and repeated ids
+    neither lose a row nor keep a second one. The numbered rows are written to
+    the shared folder, as a later reading might number them otherwise.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    got = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
+    ids = rows.select("__row", F.col("doc_id").alias("__id"))
+    of = got.select(F.col("doc_id").alias("__row"), "component_id").join(ids, "__row")
+    kept = of.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__row")).select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

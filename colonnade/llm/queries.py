@@ -85,8 +85,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    return minhash.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,12 @@ A file is a Parquet file of records in ascending order of document id; a record
 is the ids of whole documents in the binary layout below, so records are written
 and read by Spark's own writers in any store and a lost task is written again.
 
-record: magic "CMR1", u32 documents, u64 ids, u32 ids a block, u32 blocks,
-u32 crc32 of these and the table; table: i64 document ids, u32 id counts (zlib), then for
-each block u32 bytes, u32 crc32 of its payload, u32 crc32 of its ids; payloads.
+record: magic "CMR2", u32 documents, u64 ids, u32 ids a block, u32 blocks,
+u32 crc32 of these and the table; table: i64 document ids, u32 id counts, a bit
+for each document id that isn't null (zlib), then for each block u32 bytes, u32 crc32 of its payload, u32 crc32 of its ids; payloads.
 Every block has reset models; the last is padded with id 0.
 
-Defined results: a null text is empty; an empty document is its end id alone;
+Defined results: a null text is empty; null document ids come first and stay null; an empty document is its end id alone;
 repeated rows are written as often as they occur, rows of one doc_id in the
 order of their texts; an empty table gives no records. Extra columns are ignored.
 """
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -38,26 +39,28 @@ def _check(fields: tuple, table: bytes) -> int:
     return zlib.crc32(table, zlib.crc32(HEAD.pack(*fields, 0)))
 
 
-def encode_record(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+def encode_record(doc_ids: np.ndarray | pa.Array, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = -(-len(ids) // block)
     padded = np.zeros(n * block, np.int64)
     padded[: len(ids)] = ids
     payloads = encode_blocks(padded.reshape(n, block)) if n else []
     sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in padded.reshape(n, block)]
-    table = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes())
+    doc_ids = pa.array(doc_ids, pa.int64())
+    known = np.packbits(doc_ids.is_valid().to_numpy(zero_copy_only=False))
+    table = zlib.compress(pc.fill_null(doc_ids, 0).to_numpy().astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + known.tobytes())
     table += b"".join(struct.pack("<III", len(p), zlib.crc32(p), c) for p, c in zip(payloads, sums))
-    fields = (b"CMR1", len(doc_ids), len(ids), block, n)
+    fields = (b"CMR2", len(doc_ids), len(ids), block, n)
     head = HEAD.pack(*fields, _check(fields, table))
     return b"".join([head, struct.pack("<I", len(table)), table, *payloads])
 
 
-def decode_record(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_record(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """doc_ids, lengths, ids; raises ValueError where a checksum fails."""
     magic, docs, total, block, n, check = HEAD.unpack_from(raw)
     (size,) = struct.unpack_from("<I", raw, HEAD.size)
     at = HEAD.size + 4
     table = raw[at : at + size]
-    if magic != b"CMR1" or _check((magic, docs, total, block, n), table) != check:
+    if magic != b"CMR2" or _check((magic, docs, total, block, n), table) != check:
         raise ValueError("not an intact record of token blocks")
     marks = np.frombuffer(table[size - 12 * n :], "<u4").reshape(n, 3) if n else np.zeros((0, 3), np.uint32)
     plain = zlib.decompress(table[: size - 12 * n])
@@ -70,7 +73,9 @@ def decode_record(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, x in enumerate(ids):
         if zlib.crc32(x.astype("<u4").tobytes()) != marks[k, 2]:
             raise ValueError(f"block {k}: its ids fail their checksum")
-    return np.frombuffer(plain[: 8 * docs], "<i8"), np.frombuffer(plain[8 * docs :], "<u4").astype(np.int64), ids.reshape(-1)[:total]
+    known = np.unpackbits(np.frombuffer(plain[12 * docs :], np.uint8), count=docs).astype(bool)
+    doc_ids = pa.array(np.frombuffer(plain[: 8 * docs], "<i8"), mask=~known)
+    return doc_ids, np.frombuffer(plain[8 * docs : 12 * docs], "<u4").astype(np.int64), ids.reshape(-1)[:total]
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 1, parts: int | None = None) -> DataFrame:
@@ -88,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, parts: int | None
             ids, bounds = model.encode(as_text(batch.column("text")))
             wide = np.insert(ids.astype(np.int64), bounds[1:], end_id)
             n = np.diff(bounds) + 1
-            raw = encode_record(batch.column("doc_id").to_numpy(), n, wide)
+            raw = encode_record(batch.column("doc_id"), n, wide)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([record], pa.int32()), pa.array([len(wide)], pa.int64()), pa.array([raw])], ["part", "record", "n_ids", "payload"])
             record += 1
 
@@ -111,7 +116,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 view = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 size = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, part, np.int32)), pa.array(np.full(size, record, np.int32)), pa.array(doc), pa.array(at[:-1]), pa.array(n), pa.array(crc, pa.int64())], ["part", "record", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, part, np.int32)), pa.array(np.full(size, record, np.int32)), doc, pa.array(at[:-1]), pa.array(n), pa.array(crc, pa.int64())], ["part", "record", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     read = files.select("part", "record", "payload").mapInArrow(run, "part int, record int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row for each record: what is broadcast is under a millionth of the texts

@@ -22,7 +22,7 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: SQL can't express the learned toxicity scores, nor packing; tests compare with a brute-force version.
+#: SQL can't express the learned toxicity scores, nor packing; tests compare the near-dedup stage with a brute-force version and run the whole.
 ORACLE_SQL = None
 
 

@@ -150,6 +150,26 @@ def test_near_duplicates_with_shared_passages(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_one_row_of_each_component_stays(spark, rows):
+    from colonnade.llm.queries import drop_near_copies
+
+    # null ids with unique texts and with copies; ids that repeat with the same text, and with a copy of another's
+    base = " ".join(f"word{k}" for k in range(60))
+    texts = [t for _, t, *_ in rows] + [base, base, base + " more", "unique text one two three four", "another text of its own here"]
+    ids = [n // 2 if n % 3 else None for n in range(len(texts))]
+    ids[-5:] = [7, 7, None, None, 7]
+    odd = list(zip(ids, texts, ["en"] * len(texts)))
+    want = components_by_force(list(enumerate(texts)))
+    groups = defaultdict(list)
+    for n, (_, root) in want.items():
+        groups[root].append(n)
+    least = [min((ids[n] is None, ids[n] or 0) for n in g) for g in groups.values()]
+    got = drop_near_copies(spark, spark.createDataFrame(odd, "doc_id long, text string, lang string").repartition(5), "").collect()
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == Counter(least)
+    root_of = {(i, t): want[n][1] for n, (i, t, _) in enumerate(odd)}
+    assert {root_of[(r["doc_id"], r["text"])] for r in got} == set(groups)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 

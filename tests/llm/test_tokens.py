@@ -81,6 +81,14 @@ def test_token_output(docs, rows, library):
         start += len(ids)
 
 
+def test_token_output_of_null_ids(spark, library):
+    rows = [(None, "one text"), (3, "two"), (None, None), (3, "three"), (0, "four"), (-1, "five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_output.read_tokens(token_output.write_tokens(df, WORD)).orderBy("start").collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    assert [(r["doc_id"], r["ids_crc32"]) for r in got] == [(d, crc(wanted(library, t))) for d, t in order]
+
+
 def test_token_output_of_nothing(empty):
     assert token_output.read_tokens(token_output.write_tokens(empty, WORD)).count() == 0
 
