@@ -67,3 +67,36 @@ def _query(f: Function) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES = {f"fn_{k}": _query(f) for k, f in FUNCTIONS.items()}
 ORACLE_SQL = {f"fn_{k}": _select(f, f.duckdb, _DUCK) for k, f in FUNCTIONS.items() if f.duckdb is not None}
 
+# Functions of _SAFE that never raise, over every row of events too: NaN and infinite inputs included.
+_INFINITE = "CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN isinf(x) OR isinf(y) THEN CAST('Infinity' AS DOUBLE) ELSE sqrt(x * x + y * y) END"
+_WRAPPED = "((({0}) % 18446744073709551616 + 27670116110564327424) % 18446744073709551616 - 9223372036854775808)"
+_PRODUCT = f"CAST(list_reduce(list_prepend(1::HUGEINT, coalesce(list(n::HUGEINT) FILTER (WHERE n IS NOT NULL), [])), lambda a, v: {_WRAPPED.format('a * v')}) AS BIGINT)"
+_LARGE = "sign({0}) * ln(1 + abs({0}))"  # values beyond the places that are compared
+_WHOLE: dict[str, tuple[str, str]] = {
+    k: (FUNCTIONS[k].spark, FUNCTIONS[k].duckdb)
+    for k in ("cos", "sin", "tan", "power", "atan2", "exp", "expm1", "round_to_multiple", "round_binary", "first", "last", "hash_first", "hash_last", "approximate_median", "hash_approximate_median")
+}
+_WHOLE |= {k: (_LARGE.format(FUNCTIONS[k].spark), _LARGE.format(FUNCTIONS[k].duckdb)) for k in ("cosh", "sinh")}
+_WHOLE |= {"hypot": (FUNCTIONS["hypot"].spark, _INFINITE)}
+
+
+def _whole(f: Function, text: str, from_: str) -> str:
+    value = f"round(CAST({text} AS DOUBLE), {_PLACES}) + 0.0e0"
+    if f.kind == "agg":
+        return f"SELECT g, {value} AS {f.name} FROM {from_} GROUP BY g" if f.section == "grouped" else f"SELECT {value} AS {f.name} FROM {from_}"
+    return f"SELECT pos, {value} AS {f.name} FROM {from_}"
+
+
+def _whole_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("__inputs", "{df}"), df=inputs(spark, sf_dir))
+
+
+for _name, (_spark, _duck) in _WHOLE.items():
+    QUERIES[f"fn_{_name}_whole"] = _whole_query(_whole(FUNCTIONS[_name], _spark, "__inputs"))
+    ORACLE_SQL[f"fn_{_name}_whole"] = _whole(FUNCTIONS[_name], _duck, _DUCK)
+# one product for each user, so that no list holds more than a user's rows
+_BY_USER = "SELECT user_id, {0} AS product FROM {1} GROUP BY user_id"
+_USER = _COMMON.replace("SELECT event_id AS pos,", "SELECT user_id, event_id AS pos,")
+QUERIES["fn_product_whole"] = lambda spark, sf_dir: spark.sql(_BY_USER.format(FUNCTIONS["product"].spark, f"({_USER} FROM {{df}})"), df=spark.read.parquet(f"{sf_dir}/events.parquet"))
+ORACLE_SQL["fn_product_whole"] = _BY_USER.format(_PRODUCT, f"({_USER} FROM events)")
+
