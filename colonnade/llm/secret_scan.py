@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions: patterns, and a battery of randomness tests.
 
 Three patterns find assignments, access keys and long hexadecimal runs. Beside
-them, each long token that holds a digit is tested: its encoding is inferred
+them, each long token that holds a digit or 16 letters is tested: its encoding is inferred
 (hexadecimal, base 32, base 64), and under the hypothesis that its symbols are
 random in that alphabet, a chi-squared test of uniformity, a runs test about the
 middle of the alphabet and a lag-1 serial correlation give p-values, joined by
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]|(?:[+/_=-]*[A-Za-z]){16})[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 LEVEL = 0.05
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"}

@@ -204,6 +204,19 @@ def test_random_tokens_are_found_and_others_not(spark):
     assert clean[1] == "key [secret] end" and clean[3] == texts[3]
 
 
+def test_random_tokens_without_digits_are_found(spark):
+    import random
+    import string
+
+    rng = random.Random(1)
+    keys = ["".join(rng.choices(string.ascii_letters, k=20)) for _ in range(100)]
+    other = ["internationalization", "the-quick-brown-fox-jumps-over", "getElementsByTagNameAndClassName", "=" * 24, "-" * 30, "g" + "=" * 24, "_" * 20]
+    df = spark.createDataFrame([(n, f"key {t} end") for n, t in enumerate(keys + other)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}
+    assert sum(got[n] == "random:4:24" for n in range(100)) >= 80
+    assert all(got[n] == "" for n in range(100, 100 + len(other)))
+
+
 def test_secrets_of_nothing(empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.masked(empty).columns == empty.columns
 
