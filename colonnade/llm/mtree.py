@@ -126,9 +126,10 @@ class _Search:
     def add(self, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         worst = self.score[who].min(1)
         new = np.isneginf(worst)
-        if new.any() and score.shape[1] > 2 * self.k:  # one more than k, as the query itself may be among them
-            worst[new] = np.partition(score[new], -self.k - 1, 1)[:, -self.k - 1]
-        row, column = np.nonzero((score >= worst[:, None]) & (ids[None, :] != self.skip[who][:, None]))
+        other = ids[None, :] != self.skip[who][:, None]
+        if new.any() and score.shape[1] > 2 * self.k:  # a query's own rows, however many, are none of its best
+            worst[new] = np.partition(np.where(other[new], score[new], -np.inf), -self.k, 1)[:, -self.k]
+        row, column = np.nonzero((score >= worst[:, None]) & other)
         if not len(row):
             return
         score, ids = score[row, column], ids[column]

@@ -307,6 +307,21 @@ def test_top_k(spark):
             assert got[n] == [(m, s) for s, m in want]
 
 
+def test_top_k_of_repeated_ids(spark):
+    import duckdb
+
+    from colonnade.llm.queries import ORACLE_SQL
+
+    rng = np.random.default_rng(4)
+    data = [(n, [float(x) for x in rng.normal(size=6)]) for n in range(300)]
+    data += [(20, data[20][1])] * 29 + [(40, data[40][1]), (60, data[61][1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    embeddings = df.toArrow()  # noqa: F841
+    want = Counter(map(tuple, duckdb.sql(ORACLE_SQL["op7_mtree_top_k"]).to_arrow_table().to_pandas().to_numpy().tolist()))
+    for block, lots in ((8192, 8192), (100, 6)):
+        assert Counter(tuple(r) for r in mtree.top_k(df, block=block, queries=lots).collect()) == want
+
+
 def test_metric_tree_prunes():
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(20, 8)) * 100
