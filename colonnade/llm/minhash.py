@@ -3,7 +3,7 @@
 1. Each text becomes its set of five-word shingles, hashed by one function; the
    K least hashes are its sketch. Texts of one set are one class from here on.
 2. A pair at the threshold shares at least SHARED of its sketches' values (the
-   chance that it doesn't is about 1e-5 at the threshold, and under 1e-9 at 0.9), so it shares one of each sketch's
+   chance that it doesn't is about 1e-5 at the threshold, and 4.5e-9 at 0.9), so it shares one of each sketch's
    len - SHARED + 1 first values in any common order. The order is by how often
    a value (or one of its hash bucket) is retained, rarest first; those values
    alone go to inverted lists, so what many documents share makes no long lists.
