@@ -49,6 +49,15 @@ def test_word_ids_equal_the_library(texts):
         assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_equal_the_library_on_a_whole_table(library):
+    import pyarrow.parquet as pq
+
+    texts = ["" if t is None else t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    ids, at = word_bpe(WORD).encode(pa.array(texts, pa.large_string()))
+    for k, want in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == want.ids
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=5))
 def test_byte_ids_equal_the_library(texts):
