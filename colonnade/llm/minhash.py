@@ -1,23 +1,32 @@
 """Near-duplicate detection by bottom-k sketches of one hash function.
 
-1. Each text becomes its set of five-word shingles, hashed by one function; the
-   K least hashes are its sketch. Texts of one set are one class from here on.
-2. A pair at the threshold shares at least SHARED of its sketches' values (the
-   chance that it doesn't is about 1e-5 at the threshold, and 4.5e-9 at 0.9), so it shares one of each sketch's
-   len - SHARED + 1 first values in any common order. The order is by how often
-   a value (or one of its hash bucket) is retained, rarest first; those values
-   alone go to inverted lists, so what many documents share makes no long lists.
-3. Each list names its most central class; pairs with it are filtered by the
-   union sketch's estimate and verified on full sets. Components follow.
-4. Lists whose classes lie in several components give the pairs between
-   those components whose sizes and sketches allow it; these too are verified. Pairs inside a
-   component can add nothing, so a group of copies costs its size, not its square.
+1. Each text becomes its set of five-word shingles, hashed by one function, and
+   equal sets are one class. A class's SCREEN least hashes are looked up in
+   inverted lists: only classes of which enough are retained by another class
+   too can have a partner, and only those go on.
+2. For these, longer sketches (SKETCH) go to inverted lists, rarest values
+   first. A pair at the threshold shares one of each sketch's first values in
+   that order, so what many documents share makes no long lists.
+3. Every list names its most central class; a class belongs to the block of the
+   most central one it meets, large blocks are cut. A block's task holds its
+   sets: it links classes to the centre, then pairs that are still apart.
+   Components follow. Lists that join several components in several blocks name
+   pairs of blocks, whose tasks do the same for the classes that meet there.
+   Inside a task, pairs come from prefixes of the full sets, are filtered by the
+   union sketch's estimate and verified on full sets. Pairs are never rows of a
+   table: only links are, so a family of copies is sent once for each pair of
+   its blocks.
+
+A pair of Jaccard similarity 0.85 is lost with a chance of at most 1.2e-9 in 1,
+4.4e-9 in 2 and 4.4e-9 in the estimate of 3 (binomial tails, for sets one of
+which holds the other; less for others), and 1e-11 in all at 0.9.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; a
-text of one to four words is one shingle; without words n_shingles is 0, the
-document is its own component; rows that share a doc_id are one document, ties
-go to the smaller doc_id; extra columns are ignored. ``one_of_each`` takes every
-row as a document of its own, whatever its doc_id, null ones included.
+text of one to four words is one shingle; without words n_shingles is 0 and the
+document is its own component. Each row is judged by its own text, also where
+rows share a doc_id; component_id is the least doc_id of all rows in the
+component, null ids left out, and null only where all are. Extra columns are
+ignored. ``one_of_each`` takes every row as a document of its own.
 """
 
 from __future__ import annotations
@@ -32,9 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm.columns import as_text, hashed, mixed, slices, windows, words
-from colonnade.llm.sparkio import stored
-
-K, SHARED, WORDS, BUCKETS, BLOCK = 64, 41, 5, 1 << 18, 512
+from colonnade.llm.sparkio import drop_stored, stored
+
+WORDS = 5
+#: (k, shared): a pair at the threshold shares at least ``shared`` of its ``k`` least hashes
+SCREEN, SKETCH = (24, 8), (128, 83)
+FILTER_BITS = 1 << 28
+#: members and bytes of sets in a block
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: rows of one long that may be broadcast
+FEW = 4_000_000
 SIGN = np.uint64(1 << 63)
 
 
@@ -65,105 +81,249 @@ def as_longs(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array((flat ^ SIGN).view(np.int64)))
 
 
-def sketches(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, fp (of the whole set), sketch (its k least hashes)."""
+def fingerprint(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, fp (of the whole set) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             sets = shingle_sets(as_text(batch.column("text")), n)
-            fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), as_longs([s[:k] for s in sets])], ["doc_id", "n_shingles", "fp", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(fingerprint, sets), pa.binary())], ["doc_id", "n_shingles", "fp"])
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary")
 
-def prefixes(classes: DataFrame, counts: np.ndarray, percent: int, shared: int) -> DataFrame:
-    """value, rep, n, score: the values of each class that go to inverted lists, rarest first."""
-    spread = classes.sparkSession.sparkContext.broadcast(counts)  # BUCKETS counts, at any size of table
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = spread.value
-        for batch in batches:
-            lists = batch.column("sketch")
-            flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            if not len(flat):
-                continue
-            size = np.diff(at)
-            row = np.repeat(np.arange(len(size)), size)
-            count = often[flat & (len(often) - 1)]
-            order = np.lexsort((flat, count, row))
-            rank = np.arange(len(flat)) - np.repeat(at[:-1], size)
-            need = np.minimum(shared, -(-percent * size // 100))
-            use = order[rank < (size - need + 1)[row]]
-            score = np.add.reduceat(count, at[:-1]) / size
-            rep = batch.column("rep").to_numpy()
-            size = batch.column("n").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(rep[row[use]]), pa.array(size[row[use]]), pa.array(score[row[use]].astype(np.int64))], ["value", "rep", "n", "score"])
-
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "value long, rep long, n long, score long")
-
-
-def union_estimate(a: list, b: list, k: int) -> np.ndarray:
-    """The share of the union's k least values that both sketches hold."""
-    out = np.zeros(len(a))
-    for r, (x, y) in enumerate(zip(a, b)):
-        both = np.sort(np.concatenate([x, y]))
-        same = both[1:] == both[:-1]
-        first = np.concatenate([[True], ~same])
-        seen = np.cumsum(first)
-        m = min(k, int(seen[-1])) if len(x) >= k or len(y) >= k else int(seen[-1])
-        out[r] = np.count_nonzero(same & (seen[1:] <= m)) / m
-    return out
+def needed(size: int | np.ndarray, percent: int, shared: int) -> int | np.ndarray:
+    """How many of its ``size`` retained values a class shares with a partner at the threshold."""
+    return np.minimum(shared, -(-percent * size // 100))
 
 
-def likely(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch promises enough."""
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
+def retained(docs: DataFrame, n: int, percent: int, k: int, shared: int) -> DataFrame:
+    """value, class, need: the k least hashes of each class, once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                each = [[x.values.to_numpy() for x in batch.column(c)] for c in ("sa", "sb")]
-                yield batch.select(["a", "b"]).filter(pa.array(union_estimate(*each, k) * k >= shared))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sketch_of: DataFrame, percent: int, n: int, block: int = BLOCK) -> DataFrame:
-    """The pairs whose full sets have percent * union <= 100 * intersection.
-
-    Documents of one least hash are likely partners; they form blocks of about
-    ``block`` documents, and a set is sent once to each pair of blocks that has
-    a pair with it, instead of once for each pair.
-    """
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    least = sketch_of.select("rep", F.col("sketch")[0].alias("least")).join(ids, "rep", "left_semi")
-    least = stored(least.groupBy("rep").agg(F.min("least").alias("least")), "blocks")
-    many = least.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / block).alias("cuts"))
-    of = least.join(many, "least").select("rep", F.xxhash64("least", F.pmod(F.xxhash64("rep"), F.col("cuts"))).alias("block"))
-    side = lambda c: of.select(F.col("rep").alias(c), F.col("block").alias(f"block_{c}"))
-    placed = stored(pairs.join(side("a"), "a").join(side("b"), "b"), "placed")
-    needs = placed.select(F.col("block_a").alias("for_a"), F.col("block_b").alias("for_b"), F.explode(F.array("a", "b")).alias("need")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        seen: set[int] = set()
+        for batch in slices(batches, 4 << 20):
+            found = {}
+            for s in shingle_sets(as_text(batch.column("text")), n):
+                of = int.from_bytes(fingerprint(s)[:8], "little", signed=True)
+                if len(s) and of not in seen:
+                    seen.add(of)
+                    found[of] = s[:k]
+            if found:
+                size = np.array([len(s) for s in found.values()])
+                flat = (np.concatenate(list(found.values())) ^ SIGN).view(np.int64)
+                of = np.repeat(np.array(list(found), np.int64), size)
+                need = np.repeat(needed(size, percent, shared).astype(np.int32), size)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(of), pa.array(need)], ["value", "class", "need"])
+
+    return docs.select("text").mapInArrow(run, "value long, class long, need int")
+
+
+def screened(docs: DataFrame, n: int, percent: int, k: int, shared: int) -> DataFrame:
+    """class: those that share enough of their retained values with any other class."""
+    lists = retained(docs, n, percent, k, shared)
+    several = lists.groupBy("value").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("value")
+    # a class that several tasks met is counted once for each value
+    met = lists.join(several, "value", "left_semi").groupBy("class", "need").agg(F.count_distinct("value").alias("met"))
+    return met.where("met >= need").select("class")
+
+
+def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits in which each key's low bits are set: bounded, whatever the number of keys."""
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    cut = keys.select(F.expr(f"shiftright({column} & {bits - 1}L, 15)").alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit"))
+    got = cut.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+    out = np.zeros((max(1, bits >> 15), 4096), np.uint8)
+    for r in got:
+        out[r["part"]] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out.reshape(-1)
+
+
+def class_sets(docs: DataFrame, among: DataFrame, n: int, bits: int) -> DataFrame:
+    """v (a number of its own), fp and set of each class whose key may be ``among`` the given ones; others may slip in."""
+    spread = docs.sparkSession.sparkContext.broadcast(membership(among, "class", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held = spread.value
         for batch in slices(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_longs(shingle_sets(as_text(batch.column("text")), n))], ["id", "set"])
-
-    sets = texts.mapInArrow(run, "id long, set array<long>")
-    sets = sets.join(needs, F.col("id") == F.col("need")).select("id", "set", "for_a", "for_b")
-
-    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
-        known = dict(zip(held["id"].to_pylist(), (x.values.to_numpy() for x in held["set"])))
-        keep = []
-        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist()):
-            same = len(np.intersect1d(known[a], known[b], assume_unique=True))
-            keep.append(100 * same >= percent * (len(known[a]) + len(known[b]) - same))
-        return asked.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    groups = placed.groupBy("block_a", "block_b").cogroup(sets.groupBy("for_a", "for_b"))
-    return stored(groups.applyInArrow(near, "a long, b long"), "links")
+            found = {}
+            for s in shingle_sets(as_text(batch.column("text")), n):
+                fp = fingerprint(s)
+                key = int.from_bytes(fp[:8], "little") & (bits - 1)
+                if len(s) and held[key >> 3] >> (key & 7) & 1 and fp not in seen:
+                    seen.add(fp)
+                    found[fp] = s
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), as_longs(list(found.values()))], ["fp", "set"])
+
+    sets = docs.select("text").mapInArrow(run, "fp binary, set array<long>")
+    sets = sets.groupBy("fp").agg(F.first("set").alias("set"))
+    return stored(sets.select(F.monotonically_increasing_id().alias("v"), "fp", "set"), "sets")
+
+
+def prefixes(sets: DataFrame, percent: int, k: int, shared: int) -> DataFrame:
+    """value, v, score: the values of each sketch that go to inverted lists, rarest first; those of one class alone are left out."""
+    flat = sets.select("v", F.least(F.size("set"), F.lit(k)).alias("size"), F.explode(F.slice("set", 1, k)).alias("value"))
+    often = flat.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    of = flat.join(often, "value").groupBy("v", "size").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("common"))
+    need = F.least(F.lit(shared), F.ceil(F.col("size") * percent / 100))
+    # the values that are not common come first in the order and make no lists
+    use = F.size("common") - need + 1
+    score = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x["often"]) / F.col("size")
+    of = of.where(use > 0).select("v", F.slice("common", 1, use.cast("int")).alias("use"), score.cast("long").alias("score"))
+    return of.select(F.explode("use.value").alias("value"), "v", "score")
+
+
+def union_estimates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of each union's k least values both sketches hold, and how many there are (k, or the whole union).
+
+    Rows are sketches in ascending order, those of less than k values filled up with the greatest long.
+    """
+    top = np.iinfo(np.int64).max
+    both = np.sort(np.concatenate([x, y], 1), 1)
+    real = both < top
+    same = np.zeros(both.shape, bool)
+    same[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    seen = np.cumsum(real & ~same, 1, dtype=np.int32)
+    size = np.minimum(seen[:, -1], k)
+    return np.count_nonzero(same & (seen <= size[:, None]), 1), size
+
+
+class Members:
+    """The sets of one task: finds the near pairs among them."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int, k: int, shared: int):
+        self.percent, self.k, self.shared = percent, k, shared
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.sketch = np.full((len(sets), k), np.iinfo(np.int64).max)
+        for r, s in enumerate(sets):
+            self.sketch[r, : min(k, len(s))] = s[:k]
+        flat = np.concatenate(sets)
+        names, codes, often = np.unique(flat, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), self.n)
+        common = often[codes] > 1
+        self.row, self.code, self.often = row[common], codes[common], often[codes[common]]
+        self.at = np.searchsorted(self.row, np.arange(len(sets) + 1))
+        self.mark = np.zeros(len(names), bool)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs (a, b) have percent * union <= 100 * intersection: by size, the union sketch's estimate, and the full sets."""
+        out = np.zeros(len(a), bool)
+        x, y = self.n[a], self.n[b]
+        todo = np.flatnonzero(100 * np.minimum(x, y) >= self.percent * np.maximum(x, y))
+        kept = []
+        for cut in np.array_split(todo, max(1, -(-len(todo) // 4096))):
+            same, size = union_estimates(self.sketch[a[cut]], self.sketch[b[cut]], self.k)
+            kept.append(cut[same >= needed(size.astype(np.int64), self.percent, np.where(size < self.k, self.k, self.shared))])
+        todo = np.concatenate(kept) if kept else todo
+        todo = todo[np.argsort(a[todo], kind="stable")]
+        heads = np.flatnonzero(np.diff(a[todo], prepend=-1))
+        for lo, hi in zip(heads, [*heads[1:], len(todo)]):
+            one = a[todo[lo]]
+            mine = self.code[self.at[one] : self.at[one + 1]]
+            self.mark[mine] = True
+            for p in todo[lo:hi]:
+                other = b[p]
+                same = np.count_nonzero(self.mark[self.code[self.at[other] : self.at[other + 1]]])
+                out[p] = 100 * same >= self.percent * (self.n[one] + self.n[other] - same)
+            self.mark[mine] = False
+        return out
+
+    def candidates(self, apart: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of different labels (and sides) that share a value of their full sets' prefixes."""
+        order = np.lexsort((self.code, self.often, self.row))
+        rank = np.arange(len(order)) - np.repeat(self.at[:-1], np.diff(self.at))
+        need = -(-self.percent * self.n // 100)
+        use = order[rank < (np.diff(self.at) - need + 1)[self.row]]
+        use = use[np.argsort(self.code[use], kind="stable")]
+        code, row = self.code[use], self.row[use]
+        todo = np.zeros((len(self.n), len(self.n)), bool)
+        heads = np.flatnonzero(np.diff(code, prepend=-1))
+        for lo, hi in zip(heads, [*heads[1:], len(code)]):
+            if hi - lo > 1:
+                todo[np.ix_(row[lo:hi], row[lo:hi])] = True
+        todo &= apart[:, None] != apart[None, :]
+        if side is not None:
+            todo &= side[:, None] != side[None, :]
+        return np.nonzero(np.triu(todo, 1))
+
+
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each a row's number) after joining the pairs (a, b)."""
+    up = labels.copy()
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    return np.array([root(x) for x in range(len(up))], np.int64)
+
+
+def _members(table: pa.Table, percent: int, sketch: tuple[int, int]) -> tuple[np.ndarray, Members]:
+    return table["v"].to_numpy(), Members([x.values.to_numpy() for x in table["set"]], percent, *sketch)
+
+
+def _links(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(np.minimum(v[a], v[b]), pa.int64()), "b": pa.array(np.maximum(v[a], v[b]), pa.int64())})
+
+
+def blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """v, centre, block: each class under the most central class of its lists, in blocks of bounded size."""
+    best = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("v")).alias("c"))).alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    of = lists.join(best, "value").groupBy("v").agg((-F.max("best")["c"]).alias("centre"))
+    of = stored(of.join(sets.select("v", F.size("set").alias("n")), "v"), "centres")
+    cuts = of.groupBy("centre").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("cuts"))
+    return stored(of.join(cuts, "centre").select("v", "centre", F.xxhash64("centre", F.pmod(F.xxhash64("v"), F.col("cuts"))).alias("block")), "blocks")
+
+
+def links_inside(placed: DataFrame, sets: DataFrame, percent: int, sketch: tuple[int, int]) -> DataFrame:
+    """a, b: enough links inside each block, and to its centre, to join what belongs together there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        v, held = _members(table, percent, sketch)
+        guest = int(np.flatnonzero(table["guest"].to_numpy())[0])
+        others = np.flatnonzero(v != v[guest])
+        near = others[held.near(np.full(len(others), guest), others)]
+        star = np.full(len(near), guest)
+        labels = joined(np.unique(v, return_index=True)[1][np.unique(v, return_inverse=True)[1]], star, near)
+        a, b = held.candidates(labels, None)
+        more = held.near(a, b)
+        return _links(v, np.concatenate([star, a[more]]), np.concatenate([near, b[more]]))
+
+    guests = placed.select(F.col("centre").alias("v"), "block", F.lit(True).alias("guest")).distinct()
+    both = placed.select("v", "block", F.lit(False).alias("guest")).union(guests).join(sets.select("v", "set"), "v")
+    return both.groupBy("block").applyInArrow(run, "a long, b long")
+
+
+def links_between(lists: DataFrame, placed: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, sketch: tuple[int, int]) -> DataFrame:
+    """a, b: the links between blocks of classes that meet in a list and have different labels."""
+    of = placed.select("v", "block").join(labels.select("v", "label"), "v", "left").select("v", "block", F.coalesce("label", "v").alias("label"))
+    known = lists.select("value", "v").join(of, "v")
+    several = known.groupBy("value").agg(F.min("block").alias("p"), F.max("block").alias("q"), F.min("label").alias("x"), F.max("label").alias("y")).where("p <> q AND x <> y").select("value")
+    known = stored(known.join(several, "value", "left_semi"), "open-lists")
+    at = known.groupBy("value", "block").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    p, q = at.select("value", F.col("block").alias("p"), F.col("x").alias("px"), F.col("y").alias("py")), at.select("value", F.col("block").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    # one row for each list and pair of its blocks, which hold up to BLOCK classes each
+    pairs = p.join(q, "value").where("p < q AND NOT (px = py AND qx = qy AND px = qx)").select("value", "p", "q")
+    sides = pairs.select("value", "p", "q", F.col("p").alias("block")).union(pairs.select("value", "p", "q", F.col("q").alias("block")))
+    needs = stored(sides.join(known, ["value", "block"]).select("p", "q", "v", "block", "label").distinct(), "meetings")
+
+    def run(table: pa.Table) -> pa.Table:
+        v, held = _members(table, percent, sketch)
+        a, b = held.candidates(table["label"].to_numpy(), table["block"].to_numpy())
+        near = held.near(a, b)
+        return _links(v, a[near], b[near])
+
+    return needs.join(sets.select("v", "set"), "v").groupBy("p", "q").applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,49 +340,30 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
         step = stored(step.join(jump, "mid", "left").select("v", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), "labels")
+        drop_stored(labels)
         labels = step.select("v", "label")
         if step.where("old <> label").isEmpty():
+            drop_stored(both)
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, shared: int = SHARED, n: int = WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document."""
-    base = stored(sketches(docs, k, n), "sketches")
-    reps = stored(base.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    # of rows that share an id and a set, any one will do
-    classes = base.join(reps, (base["fp"] == reps["fp"]) & (base["doc_id"] == reps["rep"]), "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
-    classes = stored(classes, "class-sketches")
-    bucket = F.col("value").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("bucket")
-    held = base.select(F.explode("sketch").alias("value")).groupBy(bucket).count()
-    got = held.toPandas()  # one row for each bucket
-    counts = np.zeros(buckets, np.int64)
-    counts[got["bucket"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
-    lists = stored(prefixes(classes, counts, percent, shared).distinct(), "lists")
-    centre = lists.groupBy("value").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"), "n")).alias("c"), F.count(F.lit(1)).alias("m"))
-    centre = centre.where("m > 1").select("value", (-F.col("c.r")).alias("centre"), F.col("c.n").alias("cn"))
-    shared_lists = stored(lists.join(centre, "value").select("value", "rep", "n", "centre", "cn"), "shared")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    # sets of very different sizes can't be near: an exact test that needs no set
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = shared_lists.where("rep <> centre").where(alike(F.col("n"), F.col("cn"))).select(*pair("rep", "centre")).distinct()
-    sketch_of = classes.select("rep", "sketch")
-    links = verified(likely(stars, sketch_of, k, shared), docs, sketch_of, percent, n)
-    labels = components(links)
-    known = shared_lists.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("value", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    several = known.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("value")
-    # the sketches travel with the lists, so that a pair is judged where it is met and never sent
-    open_lists = known.join(several, "value", "left_semi").join(sketch_of, "rep")
-    open_lists = stored(open_lists.withColumn("need", F.least(F.lit(shared), F.ceil(F.size("sketch") * percent / 100))), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    near = (F.col("x.label") < F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))
-    near = near & (F.size(F.array_intersect("x.sketch", "y.sketch")) >= F.greatest("x.need", "y.need"))
-    between = x.join(y, (F.col("x.value") == F.col("y.value")) & near).select(*pair("x.rep", "y.rep")).distinct()
-    more = verified(between.join(stars, ["a", "b"], "left_anti"), docs, sketch_of, percent, n)
-    labels = components(links.union(more))
-    of = reps.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, screen: tuple[int, int] = SCREEN, sketch: tuple[int, int] = SKETCH, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row."""
+    base = stored(fingerprints(docs, n), "fingerprints")
+    sets = class_sets(docs, screened(docs, n, percent, *screen), n, bits)
+    lists = stored(prefixes(sets, percent, *sketch), "lists")
+    placed = blocks(lists, sets)
+    inside = stored(links_inside(placed, sets, percent, sketch), "links")
+    labels = components(inside)
+    between = stored(links_between(lists, placed, labels, sets, percent, sketch), "links")
+    labels = components(inside.union(between))
+    first = base.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # a class without links is left out here, and its own component
+    label = sets.select("v", "fp").join(labels, "v").select("fp", "label")
+    whole = label.join(first, "fp").groupBy("label").agg(F.min("least").alias("linked"))
+    of = first.join(label, "fp", "left").join(whole, "label", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    out = base.join(of, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
@@ -230,11 +371,14 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
 
     Rows are told apart by a number of their own, so null and repeated ids
     neither lose a row nor keep a second one. The numbered rows are written to
-    the shared folder, as a later reading might number them otherwise.
+    the shared folder, as a later reading might number them otherwise. The rows
+    that go are broadcast if they are at most FEW, and joined by a shuffle beyond.
     """
     rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     got = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
     ids = rows.select("__row", F.col("doc_id").alias("__id"))
     of = got.select(F.col("doc_id").alias("__row"), "component_id").join(ids, "__row")
-    kept = of.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__row")).select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = of.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    gone = stored(of.join(first, "component_id").where("__row <> __first").select("__row"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
