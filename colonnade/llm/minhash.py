@@ -85,15 +85,20 @@ def fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def class_key(fp: bytes) -> int:
+    return int.from_bytes(fp[:8], "little", signed=True)
+
+
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, fp (of the whole set) of each row."""
+    """doc_id, n_shingles, fp (of the whole set) and class (its first bytes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             sets = shingle_sets(as_text(batch.column("text")), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(fingerprint, sets), pa.binary())], ["doc_id", "n_shingles", "fp"])
+            fp = [fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(map(class_key, fp), pa.int64())], ["doc_id", "n_shingles", "fp", "class"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, class long")
 
 
 def needed(size: int | np.ndarray, percent: int, shared: int) -> int | np.ndarray:
@@ -109,7 +114,7 @@ def retained(docs: DataFrame, n: int, percent: int, k: int, shared: int) -> Data
         for batch in slices(batches, 4 << 20):
             found = {}
             for s in shingle_sets(as_text(batch.column("text")), n):
-                of = int.from_bytes(fingerprint(s)[:8], "little", signed=True)
+                of = class_key(fingerprint(s))
                 if len(s) and of not in seen:
                     seen.add(of)
                     found[of] = s[:k]
@@ -143,26 +148,32 @@ def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def class_sets(docs: DataFrame, among: DataFrame, n: int, bits: int) -> DataFrame:
-    """v (a number of its own), fp and set of each class whose key may be ``among`` the given ones; others may slip in."""
-    spread = docs.sparkSession.sparkContext.broadcast(membership(among, "class", bits))
+def class_sets(docs: DataFrame, rows: DataFrame, n: int, bits: int) -> DataFrame:
+    """v (a number of its own), fp and set of each of the given rows (fp, class, least: its doc_id); some others may slip in.
+
+    A row is known by its class and id, whose bits in a bounded map are looked up
+    as the texts are read, so that no text is shuffled. Rows that share both, and
+    those that slip in, are vertices of their own with equal or unneeded sets.
+    """
+    at = F.col("class").bitwiseXOR(F.coalesce("least", F.lit(0)))
+    spread = docs.sparkSession.sparkContext.broadcast(membership(rows.select(at.alias("key")), "key", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held = spread.value
         for batch in slices(batches, 4 << 20):
             found = {}
-            for s in shingle_sets(as_text(batch.column("text")), n):
+            ids = pc.fill_null(batch.column("doc_id"), 0).to_pylist()
+            for doc, s in zip(ids, shingle_sets(as_text(batch.column("text")), n)):
                 fp = fingerprint(s)
-                key = int.from_bytes(fp[:8], "little") & (bits - 1)
+                key = (class_key(fp) ^ doc) & (bits - 1)
                 if len(s) and held[key >> 3] >> (key & 7) & 1 and fp not in seen:
                     seen.add(fp)
                     found[fp] = s
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), as_longs(list(found.values()))], ["fp", "set"])
 
-    sets = docs.select("text").mapInArrow(run, "fp binary, set array<long>")
-    sets = sets.groupBy("fp").agg(F.first("set").alias("set"))
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "fp binary, set array<long>")
     return stored(sets.select(F.monotonically_increasing_id().alias("v"), "fp", "set"), "sets")
 
 
@@ -350,16 +361,16 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, screen: tuple[int, int] = SCREEN, sketch: tuple[int, int] = SKETCH, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     base = stored(fingerprints(docs, n), "fingerprints")
-    sets = class_sets(docs, screened(docs, n, percent, *screen), n, bits)
+    first = base.where("n_shingles > 0").groupBy("fp", "class").agg(F.min("doc_id").alias("least"))
+    sets = class_sets(docs, first.join(screened(docs, n, percent, *screen), "class", "left_semi"), n, bits)
     lists = stored(prefixes(sets, percent, *sketch), "lists")
     placed = blocks(lists, sets)
     inside = stored(links_inside(placed, sets, percent, sketch), "links")
     labels = components(inside)
     between = stored(links_between(lists, placed, labels, sets, percent, sketch), "links")
     labels = components(inside.union(between))
-    first = base.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # a class without links is left out here, and its own component
-    label = sets.select("v", "fp").join(labels, "v").select("fp", "label")
+    # a class without links is left out here, and its own component; vertices of one class are linked to each other
+    label = sets.select("v", "fp").join(labels, "v").groupBy("fp").agg(F.min("label").alias("label"))
     whole = label.join(first, "fp").groupBy("label").agg(F.min("least").alias("linked"))
     of = first.join(label, "fp", "left").join(whole, "label", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
     out = base.join(of, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
