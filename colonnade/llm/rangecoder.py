@@ -1,19 +1,27 @@
 """An adaptive context-mixing range coder for ids, run over many blocks in step.
 
-Each block is reset: it starts with empty models and can be decoded alone. The
-blocks of a call are lanes of numpy arrays, so that one step codes one id in
-every lane. For each id
-
-- order 2 (the last id seen after these two) or else order 1 (the last id seen
-  after this one) gives a candidate; the flag "it is the candidate" is coded with
-  a probability mixed, by weights that learn, from two adaptive estimates: by the
-  confidences of both orders, and by the lane's last hits;
-- after a miss, the order-1 candidate has a flag of its own if it differs;
-- after that, order 0 codes the id's high ten bits by their frequencies in the
-  block so far, and the low six by theirs beside those high bits. Frequencies are
-  summed up anew at set steps (REBUILT), not after each id.
-
-All model arithmetic is on integers, so that every machine gets the same bits.
+Each block is reset: it starts with empty models and can be decoded alone. A
+block is cut into up to LANES runs of ids, each with a range coder of its own;
+all lanes of all blocks of a call are elements of numpy arrays, so that one step
+codes one id in every lane. The lanes of a block share its models. For each id
+
+- order 2 (the id last seen after these two) and order 1 (the id last seen after
+  this one) each give a candidate with a confidence; order 0 gives the share of
+  the order-2 candidate among the block's ids so far;
+- one coding step tells whether the id is the order-2 candidate, or else the
+  order-1 candidate, or neither. Its probabilities are mixed: the estimates by
+  each order are stretched, weighted and squashed (weights learn by the error),
+  and what was counted in the joint context is added to that;
+- else order 0 codes the id by its frequency in the block so far; ids without a
+  share there are escaped and coded plainly.
+
+Estimates, weights and frequencies are brought up to date at set steps, from the
+counts of all lanes since then. Where lanes of a block meet in a context, the
+last one's id stays. All model arithmetic is on integers, so that every machine
+gets the same bits.
+
+payload: u32 ids of the alphabet, u32 lanes, u32 words of each lane, the lanes'
+words (u16).
 """
 
 from __future__ import annotations
@@ -21,10 +29,15 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-LOW32 = U(0xFFFFFFFF)
-LEAST = U(1 << 28)
-HIGH, LOW, CONTEXTS = 1024, 64, 256
-REBUILT = {16, 32, 64, 128, 256, 384, 512, 768, *range(1024, 1 << 20, 512)}
+LANES, LEAST_STEPS = 256, 64
+LEAST, HALF = U(1 << 48), U(16)
+SLOT_BITS = 15
+SLOTS = 1 << SLOT_BITS
+ONE_BITS, TWO_BITS = 15, 16
+#: joint contexts: share of order 0 (8), orders agree (2), confidence of order 1 (8) and of order 2 (8)
+SHAPE, JOINT = (8, 2, 8, 8), 1024
+LEARNED = {1, 2, 4, 8, 16, *range(32, 1 << 20, 32)}
+REBUILT = {4, 16, 64, 128, 256, 384, 512, 768, *range(1024, 1 << 20, 512)}
 _KNOTS = np.array([1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094], np.int64)
 
 
@@ -41,206 +54,256 @@ SQUASH, STRETCH = _tables()
 
 class Encoder:
     def __init__(self, lanes: int):
-        self.x1, self.x2 = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-        self.out, self.pos = np.zeros((lanes, 1024), np.uint32), np.zeros(lanes, np.int64)
-
-    def begin(self, lanes: np.ndarray | None) -> None:
-        self.lanes = lanes
-        self.a, self.b = (self.x1, self.x2) if lanes is None else (self.x1[lanes], self.x2[lanes])
-
-    def end(self) -> None:
-        if self.lanes is None:
-            self.x1, self.x2 = self.a, self.b
-        else:
-            self.x1[self.lanes], self.x2[self.lanes] = self.a, self.b
-
-    def code(self, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """p: of a set bit, in 65536ths."""
-        a, b = self.a, self.b
-        mid = a + ((b - a) >> U(16)) * p.astype(U)
-        self.b = np.where(bits, mid, b)
-        self.a = np.where(bits, a, mid + U(1))
-        self.shift()
-        return bits
-
-    def symbol(self, cum: np.ndarray, base: np.ndarray, width: int, want: np.ndarray) -> np.ndarray:
-        """Codes symbols by cumulative frequencies: width + 1 values from each base on, the first 0."""
-        at = base + want
-        unit = (self.b - self.a) // cum[base + width].astype(U)
-        self.b = self.a + unit * cum[at + 1].astype(U) - U(1)
-        self.a = self.a + unit * cum[at].astype(U)
-        self.shift()
-        return want
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
+        self.out, self.pos = np.zeros((lanes, 256), np.uint16), np.zeros(lanes, np.int64)
+
+    def carry(self, lane: np.ndarray) -> None:
+        """Adds one to what the lanes have written."""
+        pos = self.pos[lane] - 1
+        while len(lane):
+            self.out[lane, pos] += np.uint16(1)
+            more = self.out[lane, pos] == 0
+            lane, pos = lane[more], pos[more] - 1
+
+    def choose(self, two: np.ndarray, either: np.ndarray, is_two: np.ndarray, is_either: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        unit = self.range >> HALF
+        two, either = unit * two, unit * either
+        base = np.where(is_either, two, either)
+        base[is_two] = 0
+        top = np.where(is_either, either, unit << HALF)
+        np.copyto(top, two, where=is_two)
+        self.range = top - base
+        low = self.low + base
+        over = np.flatnonzero(low < base)
+        self.low = low
+        if len(over):
+            self.carry(over)
+        return is_two, is_either
+
+    def part(self, lane: np.ndarray, bits: int, cum: np.ndarray, size: np.ndarray) -> None:
+        unit = self.range[lane] >> U(bits)
+        base = unit * cum.astype(U)
+        low = self.low[lane] + base
+        self.low[lane], self.range[lane] = low, unit * size.astype(U)
+        over = low < base
+        if over.any():
+            self.carry(lane[over])
 
     def shift(self) -> None:
-        at = np.flatnonzero((self.a ^ self.b) <= LOW32)
-        if len(at):
-            lane = at if self.lanes is None else self.lanes[at]
-            pos = self.pos[lane]
-            if pos.max() + 2 >= self.out.shape[1]:
+        lane = np.flatnonzero(self.range < LEAST)
+        while len(lane):
+            pos, low = self.pos[lane], self.low[lane]
+            if int(pos.max()) + 2 >= self.out.shape[1]:
                 self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-            self.out[lane, pos] = (self.a[at] >> U(32)).astype(np.uint32)
+            self.out[lane, pos] = (low >> U(48)).astype(np.uint16)
             self.pos[lane] = pos + 1
-            self.a[at] <<= U(32)
-            self.b[at] = (self.b[at] << U(32)) | LOW32
-        # an interval that straddles a border and is too small for a symbol is cut down to one side of it
-        at = np.flatnonzero(self.b - self.a < LEAST)
-        if len(at):
-            self.split(at)
-
-    def split(self, at: np.ndarray) -> None:
-        border = (self.b[at] >> U(32)) << U(32)
-        low = border - self.a[at] > self.b[at] - border
-        self.b[at] = np.where(low, border - U(1), self.b[at])
-        self.a[at] = np.where(low, self.a[at], border)
-        self.shift()
-
-    def finish(self) -> list[bytes]:
+            self.low[lane] = low << HALF
+            wide = self.range[lane] << HALF
+            self.range[lane] = wide
+            lane = lane[wide < LEAST]
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each lane's words and their number; the last word names the one multiple of 2^48 in its interval."""
+        last = (self.low + (LEAST - U(1))) >> U(48)
+        over = np.flatnonzero(self.low + (LEAST - U(1)) < self.low)
         lane = np.arange(len(self.pos))
-        self.out[lane, self.pos] = ((self.x1 >> U(32)) + U(1)).astype(np.uint32)
-        return [self.out[k, : self.pos[k] + 1].astype("<u4").tobytes() for k in lane]
+        self.carry(over)
+        if int(self.pos.max(initial=0)) + 1 >= self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
+        self.out[lane, self.pos] = last.astype(np.uint16)
+        return self.out, self.pos + 1
 
 
 class Decoder:
-    def __init__(self, blocks: list[bytes]):
-        n = len(blocks)
-        self.x1, self.x2 = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-        self.words = np.zeros((n, max((len(b) // 4 for b in blocks), default=0) + 3), np.uint32)
-        for k, b in enumerate(blocks):
-            self.words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
-        self.x = (self.words[:, 0].astype(U) << U(32)) | self.words[:, 1]
-        self.pos = np.full(n, 2)
-
-    def begin(self, lanes: np.ndarray | None) -> None:
-        self.lanes = lanes
-        self.a, self.b, self.v = (self.x1, self.x2, self.x) if lanes is None else (self.x1[lanes], self.x2[lanes], self.x[lanes])
-
-    def end(self) -> None:
-        if self.lanes is None:
-            self.x1, self.x2, self.x = self.a, self.b, self.v
-        else:
-            self.x1[self.lanes], self.x2[self.lanes], self.x[self.lanes] = self.a, self.b, self.v
-
-    def code(self, p: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        a, b = self.a, self.b
-        mid = a + ((b - a) >> U(16)) * p.astype(U)
-        bits = self.v <= mid
-        self.b = np.where(bits, mid, b)
-        self.a = np.where(bits, a, mid + U(1))
-        self.shift()
-        return bits
-
-    def symbol(self, cum: np.ndarray, base: np.ndarray, width: int, want: None) -> np.ndarray:
-        total = cum[base + width].astype(U)
-        unit = (self.b - self.a) // total
-        target = np.minimum((self.v - self.a) // unit, total - U(1)).astype(np.int64)
-        got, step = np.zeros(len(base), np.int64), width >> 1
-        while step:
-            got = np.where(cum[base + got + step] <= target, got + step, got)
-            step >>= 1
-        at = base + got
-        self.b = self.a + unit * cum[at + 1].astype(U) - U(1)
-        self.a = self.a + unit * cum[at].astype(U)
-        self.shift()
-        return got
+    def __init__(self, words: np.ndarray):
+        """words: each lane's, followed by zeros, four at least."""
+        self.words, self.width = words.reshape(-1), words.shape[1]
+        self.base = np.arange(len(words)) * self.width
+        first = words[:, :4].astype(U)
+        self.value = first[:, 0] << U(48) | first[:, 1] << U(32) | first[:, 2] << U(16) | first[:, 3]
+        self.pos, self.range = np.full(len(words), 4), np.full(len(words), 0xFFFFFFFFFFFFFFFF, U)
+
+    def choose(self, two: np.ndarray, either: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        unit = self.range >> HALF
+        two, either = unit * two, unit * either
+        is_two, is_either = self.value < two, self.value < either
+        base = np.where(is_either, two, either)
+        base[is_two] = 0
+        top = np.where(is_either, either, unit << HALF)
+        np.copyto(top, two, where=is_two)
+        self.range = top - base
+        self.value -= base
+        return is_two, is_either
+
+    def slot(self, lane: np.ndarray, bits: int) -> np.ndarray:
+        self.unit = self.range[lane] >> U(bits)
+        return np.minimum(self.value[lane] // self.unit, U((1 << bits) - 1)).astype(np.int64)
+
+    def part(self, lane: np.ndarray, cum: np.ndarray, size: np.ndarray) -> None:
+        self.value[lane] -= self.unit * cum.astype(U)
+        self.range[lane] = self.unit * size.astype(U)
 
     def shift(self) -> None:
-        at = np.flatnonzero((self.a ^ self.b) <= LOW32)
-        if len(at):
-            lane = at if self.lanes is None else self.lanes[at]
-            pos = np.minimum(self.pos[lane], self.words.shape[1] - 1)
-            self.a[at] <<= U(32)
-            self.b[at] = (self.b[at] << U(32)) | LOW32
-            self.v[at] = (self.v[at] << U(32)) | self.words[lane, pos]
+        lane = np.flatnonzero(self.range < LEAST)
+        while len(lane):
+            pos = np.minimum(self.pos[lane], self.width - 1)
+            self.value[lane] = (self.value[lane] << HALF) | self.words[self.base[lane] + pos]
             self.pos[lane] = pos + 1
-        at = np.flatnonzero(self.b - self.a < LEAST)
-        if len(at):
-            Encoder.split(self, at)
-
-
-def _summed(counts: np.ndarray) -> np.ndarray:
-    """Cumulative frequencies along the last axis, from 0, in one flat array."""
-    out = np.zeros((*counts.shape[:-1], counts.shape[-1] + 1), np.int32)
-    np.cumsum(counts, axis=-1, out=out[..., 1:])
-    return out.reshape(-1)
-
-
-def _run(coder: Encoder | Decoder, lanes: int, steps: int, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ids (lanes x steps), or decodes and returns them."""
-    out = ids if ids is not None else np.zeros((lanes, steps), np.int64)
-    every = np.arange(lanes)
-    one, two = np.zeros(lanes << 12, np.int32), np.zeros(lanes << 13, np.int32)  # id + 1, confidence from bit 17
-    state = np.full(lanes << 6, 1 << 14, np.int32)  # by both confidences and whether the orders agree
-    trail = np.full(lanes << 8, 1 << 14, np.int32)  # by the last eight flags
-    second = np.full(lanes << 4, 1 << 14, np.int32)
-    highs, lows = np.ones((lanes, HIGH), np.int32), np.ones((lanes, CONTEXTS, LOW), np.int32)
-    flat_highs, flat_lows = highs.reshape(-1), lows.reshape(-1)
-    cum_high, cum_low = _summed(highs), _summed(lows)
-    w1, w2 = np.full(lanes, 1 << 15, np.int64), np.full(lanes, 1 << 15, np.int64)
-    past, p1, p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    at1, at2, at3, at4 = every << 12, every << 13, every << 6, every << 8
+            wide = self.range[lane] << HALF
+            self.range[lane] = wide
+            lane = lane[wide < LEAST]
+
+
+class Mixer:
+    """Probabilities (of 65536) of one outcome in each joint context of each block."""
+
+    def __init__(self, blocks: int):
+        self.hits, self.total = np.zeros((blocks, *SHAPE), np.int64), np.zeros((blocks, *SHAPE), np.int64)
+        self.weights = np.full((4, blocks, 1, 1, 1, 1), 1 << 14, np.int64)
+
+    def learn(self, hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+        self.hits += hits
+        self.total += total
+        # the estimates by order 0, by both candidates' agreement, and by the confidences of orders 1 and 2
+        by = []
+        for axis in range(1, 5):
+            others = tuple(a for a in range(1, 5) if a != axis)
+            p = (self.hits.sum(others, keepdims=True) * 4095 + 1024) // (self.total.sum(others, keepdims=True) + 1)
+            by.append(STRETCH[np.clip(p, 1, 4094)])
+        mix = sum(w * s for w, s in zip(self.weights, by)) >> 16
+        p = SQUASH[np.clip(mix, -2047, 2047) + 2047]
+        error, n = hits * 4096 - total * p, total.sum((1, 2, 3, 4), keepdims=True) + 1
+        for k, s in enumerate(by):
+            self.weights[k] += (error * s).sum((1, 2, 3, 4), keepdims=True) // n >> 8
+        np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
+        # the mix counts as much as MIXED events of the joint context itself
+        return (self.hits * 65536 + p * 16 * 24) // (self.total + 24)
+
+
+def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: int, ids: np.ndarray | None) -> np.ndarray:
+    """Codes ids (steps x all lanes), or decodes and returns them."""
+    out = ids if ids is not None else np.zeros((steps, blocks * lanes), np.int64)
+    block = np.repeat(np.arange(blocks), lanes)
+    at1, at2, at_joint, at_id, at_slot = block << ONE_BITS, block << TWO_BITS, block * JOINT, block * (vocab + 1), block << SLOT_BITS
+    one, two = np.zeros(blocks << ONE_BITS, np.int64), np.zeros(blocks << TWO_BITS, np.int64)  # id << 3 | confidence
+    mixers = Mixer(blocks), Mixer(blocks)
+    p_two = np.full(blocks * JOINT, 1 << 12, U)
+    p_either = p_two + p_two
+    counts = np.zeros((blocks, vocab + 1), np.int64)
+    size = np.zeros((blocks, vocab + 1), np.int64)
+    size[:, vocab] = SLOTS  # the escape
+    cum, share, of_slot = np.zeros_like(size), np.zeros(size.size, np.int64), np.full(blocks << SLOT_BITS, vocab, np.int32)
+    flat_size, flat_cum = size.reshape(-1), cum.reshape(-1)
+    events = np.zeros((32, blocks * lanes), np.int64)
+    seen = counted = 0
+    p1, p2 = np.zeros(blocks * lanes, np.int64), np.zeros(blocks * lanes, np.int64)
     for t in range(steps):
         if t in REBUILT:
-            cum_high, cum_low = _summed(highs), _summed(lows)
-        s1 = at1 + ((p1 * 40503 >> 4) & 4095)
-        s2 = at2 + ((p1 * 40503 + p2 * 30011 >> 3) & 8191)
-        e1, e2 = one[s1], two[s2]
-        c1, c2, k1, k2 = e1 >> 17, e2 >> 17, (e1 & 0x1FFFF) - 1, (e2 & 0x1FFFF) - 1
-        first = np.where(k2 >= 0, k2, k1)
-        a = at3 + (c2 << 4 | c1 << 2 | (k1 == first) << 1 | (k1 >= 0))
-        b = at4 + past
-        pa, pb = state[a], trail[b]
-        sa, sb = STRETCH[pa >> 4], STRETCH[pb >> 4]
-        mix = SQUASH[np.clip((w1 * sa + w2 * sb) >> 16, -2047, 2047) + 2047]
-        p = np.clip(mix << 4, 32, 65504)
-        coder.begin(None)
-        sym = out[:, t] if ids is not None else None
-        hit = coder.code(p, None if sym is None else sym == first)
-        coder.end()
-        error = (hit.astype(np.int64) << 12) - mix
-        w1 += error * sa >> 10
-        w2 += error * sb >> 10
-        state[a] = pa + (((hit.astype(np.int32) << 16) - pa) >> 5)
-        trail[b] = pb + (((hit.astype(np.int32) << 16) - pb) >> 5)
-        np.clip(state, 64, 65472, out=state) if t & 1023 == 1023 else None
-        past = (past << 1 | hit) & 255
-        got = np.where(hit, first, 0)
-        other = np.flatnonzero(~hit & (k1 >= 0) & (k1 != first))
-        rest = ~hit
-        if len(other):
-            coder.begin(other)
-            s = (other << 4) + c1[other]
-            q = second[s]
-            h = coder.code(np.clip(q, 32, 65504), None if sym is None else sym[other] == k1[other])
-            coder.end()
-            second[s] = q + (((h.astype(np.int32) << 16) - q) >> 5)
-            got[other[h]] = k1[other[h]]
-            rest[other[h]] = False
-        lit = np.flatnonzero(rest)
+            counts += np.bincount((out[counted:t] + at_id).ravel(), minlength=counts.size).reshape(counts.shape)
+            counted = t
+            size = counts * (SLOTS - SLOTS // 16) // (t * lanes)
+            share = np.minimum(np.frexp(size.astype(np.float32))[1], 7).astype(np.int64).reshape(-1) << 7
+            size[:, vocab] = SLOTS - size.sum(1)
+            flat_cum = (np.cumsum(size, 1) - size).reshape(-1)
+            flat_size = size.reshape(-1)
+            used = np.flatnonzero(flat_size)
+            of_slot = np.repeat((used % (vocab + 1)).astype(np.int32), flat_size[used])
+        if t in LEARNED:
+            met = np.bincount(events[: t - seen].ravel(), minlength=blocks * JOINT * 4).reshape(blocks, *SHAPE, 4)
+            seen = t
+            total = met.sum(-1)
+            a = mixers[0].learn(met[..., 3], total)
+            b = mixers[1].learn(met[..., 1], total - met[..., 3])
+            b[:, :, 1] = 0  # where the orders agree there is no other candidate
+            a = np.clip(a, 32, 65536 - 96)
+            p_two = a.reshape(-1).astype(U)
+            b = np.clip((65536 - a) * b >> 16, 16, 65536 - 32 - a)
+            b[:, :, 1] = 0
+            p_either = (a + b).reshape(-1).astype(U)
+        s1 = at1 + (p1 & (1 << ONE_BITS) - 1)
+        s2 = at2 + ((p1 * 40503 + p2 * 30011 >> 3) & (1 << TWO_BITS) - 1)
+        e1, e2 = one.take(s1), two.take(s2)
+        c1, c2, k1, k2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
+        joint = share.take(at_id + c2)
+        joint += at_joint
+        joint |= (c1 == c2).astype(np.int64) << 6
+        joint |= k1 << 3
+        joint |= k2
+        if ids is not None:
+            got = ids[t]
+            is_two = got == c2
+            is_two, is_either = coder.choose(p_two.take(joint), p_either.take(joint), is_two, is_two | (got == c1))
+        else:
+            is_two, is_either = coder.choose(p_two.take(joint), p_either.take(joint))
+            got = np.where(is_two, c2, c1)
+        lit = np.flatnonzero(~is_either)
         if len(lit):
-            coder.begin(lit)
-            want = None if sym is None else sym[lit]
-            high = coder.symbol(cum_high, lit * (HIGH + 1), HIGH, None if want is None else want >> 6)
-            context = lit * CONTEXTS + (high * 37 & CONTEXTS - 1)
-            low = coder.symbol(cum_low, context * (LOW + 1), LOW, None if want is None else want & 63)
-            flat_highs[lit * HIGH + high] += 24
-            flat_lows[context * LOW + low] += 24
-            coder.end()
-            got[lit] = high << 6 | low
+            base = at_id[lit]
+            if ids is not None:
+                want = got[lit]
+                n = flat_size.take(base + want)
+                gone = np.flatnonzero(n == 0)
+                where = base + want
+                where[gone] = base[gone] + vocab
+                coder.part(lit, SLOT_BITS, flat_cum.take(where), flat_size.take(where))
+                if len(gone):
+                    coder.part(lit[gone], 16, want[gone], np.ones(len(gone), np.int64))
+            else:
+                want = of_slot.take(at_slot[lit] + coder.slot(lit, SLOT_BITS)).astype(np.int64)
+                where = base + want
+                coder.part(lit, flat_cum.take(where), flat_size.take(where))
+                gone = np.flatnonzero(want == vocab)
+                if len(gone):
+                    plain = np.minimum(coder.slot(lit[gone], 16), vocab - 1)
+                    coder.part(lit[gone], plain, np.ones(len(gone), np.int64))
+                    want[gone] = plain
+                got[lit] = want
+        coder.shift()
         if ids is None:
-            out[:, t] = got
-        one[s1] = np.where(k1 == got, e1 + ((c1 < 3) << 17), got + 1)
-        two[s2] = np.where(k2 == got, e2 + ((c2 < 3) << 17), got + 1)
+            out[t] = got
+        joint <<= 2
+        joint += is_two
+        joint += is_either
+        # 1: the order-1 candidate; 3: the order-2 candidate
+        joint += is_two
+        events[t - seen] = joint
+        fresh = got << 3
+        one[s1] = np.where(c1 == got, e1 + (k1 < 7), fresh)
+        two[s2] = np.where(is_two, e2 + (k2 < 7), fresh)
         p2, p1 = p1, got
     return out
 
 
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    lanes = min(LANES, max(1, -(-n // LEAST_STEPS)))
+    return lanes, -(-n // lanes)
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """ids (blocks x ids, each under 65536) -> one payload for each block."""
-    coder = Encoder(len(ids))
-    _run(coder, *ids.shape, ids.astype(np.int64))
-    return coder.finish()
+    blocks, n = ids.shape
+    lanes, steps = _shape(n)
+    vocab = int(ids.max(initial=0)) + 1
+    padded = np.zeros((blocks, lanes * steps), np.int64)
+    padded[:, :n] = ids
+    coder = Encoder(blocks * lanes)
+    _run(coder, blocks, lanes, steps, vocab, np.ascontiguousarray(padded.reshape(blocks * lanes, steps).T))
+    words, size = coder.finish()
+    out = []
+    for k in range(blocks):
+        rows = slice(k * lanes, (k + 1) * lanes)
+        inside = np.arange(words.shape[1])[None, :] < size[rows, None]
+        out.append(np.array([vocab, lanes], "<u4").tobytes() + size[rows].astype("<u4").tobytes() + words[rows][inside].astype("<u2").tobytes())
+    return out
 
 
-def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
-    return _run(Decoder(payloads), len(payloads), steps, None)
+def decode_blocks(payloads: list[bytes], n: int) -> np.ndarray:
+    """The ids (blocks x n) of payloads of one shape."""
+    lanes, steps = _shape(n)
+    heads = [np.frombuffer(p, "<u4", 2 + lanes) for p in payloads]
+    size = np.array([h[2:] for h in heads], np.int64).reshape(-1)
+    words = np.zeros((len(size), int(size.max(initial=0)) + 5), np.uint16)
+    words[np.arange(words.shape[1])[None, :] < size[:, None]] = np.concatenate([np.frombuffer(p, "<u2", offset=8 + 4 * lanes) for p in payloads])
+    out = _run(Decoder(words), len(payloads), lanes, steps, max(int(h[0]) for h in heads), None)
+    return np.ascontiguousarray(out.T).reshape(len(payloads), lanes * steps)[:, :n]

@@ -7,7 +7,8 @@ and read by Spark's own writers in any store and a lost task is written again.
 record: magic "CMR2", u32 documents, u64 ids, u32 ids a block, u32 blocks,
 u32 crc32 of these and the table; table: i64 document ids, u32 id counts, a bit
 for each document id that isn't null (zlib), then for each block u32 bytes, u32 crc32 of its payload, u32 crc32 of its ids; payloads.
-Every block has reset models; the last is padded with id 0.
+Every block has reset models; a record's ids are dealt to blocks of equal length,
+the last padded with id 0.
 
 Defined results: a null text is empty; null document ids come first and stay null; an empty document is its end id alone;
 repeated rows are written as often as they occur, rows of one doc_id in the
@@ -31,7 +32,8 @@ from colonnade.llm.rangecoder import decode_blocks, encode_blocks
 from colonnade.llm.sparkio import stored
 from colonnade.llm.wordbpe import word_bpe
 
-BLOCK = 4096
+#: the most ids in a block
+BLOCK = 1 << 18
 HEAD = struct.Struct("<4sIQIII")
 
 
@@ -41,6 +43,7 @@ def _check(fields: tuple, table: bytes) -> int:
 
 def encode_record(doc_ids: np.ndarray | pa.Array, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = -(-len(ids) // block)
+    block = -(-len(ids) // max(n, 1))
     padded = np.zeros(n * block, np.int64)
     padded[: len(ids)] = ids
     payloads = encode_blocks(padded.reshape(n, block)) if n else []
