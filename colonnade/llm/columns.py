@@ -27,16 +27,26 @@ def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``limit`` bytes of text, and one row at least."""
+    """The rows in batches of at most about ``limit`` bytes of text, and one row at least: large batches are cut evenly, small ones joined."""
+    held, held_size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        ends = np.cumsum(size)
+        even = max(1, -(-int(ends[-1]) // max(1, -(-int(ends[-1]) // limit))))
+        part = np.maximum(ends - 1, 0) // even
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(int(a), int(b - a))
-        pa.default_memory_pool().release_unused()
+            n = int(size[a:b].sum()) + 16 * (b - a)
+            if held and held_size + n > limit:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, held_size = [], 0
+                pa.default_memory_pool().release_unused()
+            held.append(batch.slice(a, b - a))
+            held_size += n
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -184,17 +184,17 @@ def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: i
     """Codes ids (steps x all lanes), or decodes and returns them."""
     out = ids if ids is not None else np.zeros((steps, blocks * lanes), np.int64)
     block = np.repeat(np.arange(blocks), lanes)
-    at1, at2, at_joint, at_id, at_slot = block << ONE_BITS, block << TWO_BITS, block * JOINT, block * (vocab + 1), block << SLOT_BITS
-    one, two = np.zeros(blocks << ONE_BITS, np.int64), np.zeros(blocks << TWO_BITS, np.int64)  # id << 3 | confidence
+    at1, at2, at_joint, at_id, at_slot = block << ONE_BITS, block << TWO_BITS, (block * JOINT).astype(np.int32), block * (vocab + 1), block << SLOT_BITS
+    one, two = np.zeros(blocks << ONE_BITS, np.int32), np.zeros(blocks << TWO_BITS, np.int32)  # id << 3 | confidence
     mixers = Mixer(blocks), Mixer(blocks)
     p_two = np.full(blocks * JOINT, 1 << 12, U)
     p_either = p_two + p_two
     counts = np.zeros((blocks, vocab + 1), np.int64)
     size = np.zeros((blocks, vocab + 1), np.int64)
     size[:, vocab] = SLOTS  # the escape
-    cum, share, of_slot = np.zeros_like(size), np.zeros(size.size, np.int64), np.full(blocks << SLOT_BITS, vocab, np.int32)
+    cum, share, of_slot = np.zeros_like(size), np.zeros(size.size, np.int32), np.full(blocks << SLOT_BITS, vocab, np.int32)
     flat_size, flat_cum = size.reshape(-1), cum.reshape(-1)
-    events = np.zeros((32, blocks * lanes), np.int64)
+    events = np.zeros((32, blocks * lanes), np.int32)
     seen = counted = 0
     p1, p2 = np.zeros(blocks * lanes, np.int64), np.zeros(blocks * lanes, np.int64)
     for t in range(steps):
@@ -202,10 +202,10 @@ def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: i
             counts += np.bincount((out[counted:t] + at_id).ravel(), minlength=counts.size).reshape(counts.shape)
             counted = t
             size = counts * (SLOTS - SLOTS // 16) // (t * lanes)
-            share = np.minimum(np.frexp(size.astype(np.float32))[1], 7).astype(np.int64).reshape(-1) << 7
+            share = np.minimum(np.frexp(size.astype(np.float32))[1], 7).reshape(-1) << 7
             size[:, vocab] = SLOTS - size.sum(1)
-            flat_cum = (np.cumsum(size, 1) - size).reshape(-1)
-            flat_size = size.reshape(-1)
+            flat_cum = (np.cumsum(size, 1) - size).astype(np.int32).reshape(-1)
+            flat_size = size.astype(np.int32).reshape(-1)
             used = np.flatnonzero(flat_size)
             of_slot = np.repeat((used % (vocab + 1)).astype(np.int32), flat_size[used])
         if t in LEARNED:
@@ -224,18 +224,17 @@ def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: i
         s2 = at2 + ((p1 * 40503 + p2 * 30011 >> 3) & (1 << TWO_BITS) - 1)
         e1, e2 = one.take(s1), two.take(s2)
         c1, c2, k1, k2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
-        joint = share.take(at_id + c2)
-        joint += at_joint
-        joint |= (c1 == c2).astype(np.int64) << 6
+        joint = share.take(at_id + c2) | (c1 == c2).view(np.int8).astype(np.int32) << 6
         joint |= k1 << 3
         joint |= k2
+        joint += at_joint
         if ids is not None:
             got = ids[t]
             is_two = got == c2
             is_two, is_either = coder.choose(p_two.take(joint), p_either.take(joint), is_two, is_two | (got == c1))
         else:
             is_two, is_either = coder.choose(p_two.take(joint), p_either.take(joint))
-            got = np.where(is_two, c2, c1)
+            got = np.where(is_two, c2, c1).astype(np.int64)
         lit = np.flatnonzero(~is_either)
         if len(lit):
             base = at_id[lit]
@@ -267,7 +266,7 @@ def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: i
         # 1: the order-1 candidate; 3: the order-2 candidate
         joint += is_two
         events[t - seen] = joint
-        fresh = got << 3
+        fresh = got.astype(np.int32) << 3
         one[s1] = np.where(c1 == got, e1 + (k1 < 7), fresh)
         two[s2] = np.where(is_two, e2 + (k2 < 7), fresh)
         p2, p1 = p1, got

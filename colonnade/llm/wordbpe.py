@@ -75,60 +75,57 @@ class PairTable:
 
 
 def contract(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
-    """Ragged rows of symbols, each contracted to its fixpoint: symbols and lengths."""
+    """Ragged rows of symbols, each contracted to its fixpoint: symbols and lengths.
+
+    Rows of like length form a matrix; a merge links its symbol to the one after
+    next, so that nothing moves. Rows that are done are left out once they are half.
+    """
     out_len = lengths.astype(np.int64).copy()
-    result: list[np.ndarray | None] = []
     starts = offsets(out_len)[:-1]
     order = np.argsort(out_len, kind="stable")
-    place = np.zeros(len(order), np.int64)
-    done_at = 0
+    result, place, done_at = [], np.zeros(len(order), np.int64), 0
     for lot in np.array_split(order, max(1, len(order) // 8192 + 1)):
-        if not len(lot):
-            continue
-        n = out_len[lot].copy()
+        n = out_len[lot]
         width = int(n.max(initial=0))
-        m = np.full((len(lot), width + 1), -1, np.int64)
+        if not width:
+            continue
+        made = np.full((len(lot), width + 1), -1, np.int64)
         inside = np.arange(width + 1)[None, :] < n[:, None]
-        m[inside] = symbols[ranges(starts[lot], n)]
-        live = np.flatnonzero(n > 1)
-        rank = np.full((len(lot), width), _NONE, np.int64)
-        to = np.zeros((len(lot), width), np.int64)
-        if width:
-            both = m[:, 1:] >= 0
-            r, t = table.find(m[:, :-1][both], m[:, 1:][both])
-            rank[both], to[both] = r, t
-        while len(live):
-            at = rank[live].argmin(1)
-            ok = rank[live, at] < _NONE
-            live, at = live[ok], at[ok]
-            if not len(live):
-                break
-            merged = to[live, at]
-            cols = np.arange(width)[None, :]
-            src = cols + (cols > at[:, None])
-            rows = m[live]
-            rows[:, :width] = np.take_along_axis(rows, src, 1)
-            rows[:, width] = -1
-            rows[np.arange(len(live)), at] = merged
-            m[live] = rows
-            n[live] -= 1
-            src = np.minimum(src, width - 1)
-            rr, tt = np.take_along_axis(rank[live], src, 1), np.take_along_axis(to[live], src, 1)
-            rr[:, width - 1], tt[:, width - 1] = _NONE, 0
-            i = np.arange(len(live))
-            for shift in (-1, 0):
-                col = at + shift
-                good = col >= 0
-                j, c = i[good], col[good]
-                a, b = rows[j, c], rows[j, c + 1]
-                pair = b >= 0
-                r, t = np.full(len(j), _NONE, np.int64), np.zeros(len(j), np.int64)
-                r[pair], t[pair] = table.find(a[pair], b[pair])
-                rr[j, c], tt[j, c] = r, t
-            rank[live], to[live] = rr, tt
-            live = live[n[live] > 1]
-        keep = np.arange(width + 1)[None, :] < n[:, None]
-        result.append(m[keep])
+        made[inside] = symbols[ranges(starts[lot], n)]
+        rows = np.flatnonzero(n > 1)
+        m = made[rows]
+        rank, to = np.full(m.shape, _NONE, np.int64), np.zeros(m.shape, np.int64)
+        both = np.zeros(m.shape, bool)
+        both[:, :-1] = m[:, 1:] >= 0
+        rank[both], to[both] = table.find(m[both], m[:, 1:][both[:, :-1]])
+        after = np.tile(np.arange(1, width + 2), (len(rows), 1))
+        before = after - 2
+        while len(rows):
+            at = rank.argmin(1)
+            base = np.arange(len(rows)) * (width + 1)
+            flat_m, flat_rank, flat_to, flat_after, flat_before = (x.reshape(-1) for x in (m, rank, to, after, before))
+            ok = flat_rank[base + at] < _NONE
+            if 2 * np.count_nonzero(ok) < len(rows):
+                made[rows[~ok]] = m[~ok]
+                rows, m, rank, to, after, before = (x[ok] for x in (rows, m, rank, to, after, before))
+                continue
+            base, at = base[ok], at[ok]
+            here = base + at
+            gone = base + flat_after[here]
+            flat_m[here] = flat_to[here]
+            flat_m[gone], flat_rank[gone] = -1, _NONE
+            following, previous = flat_after[gone], flat_before[here]
+            flat_after[here] = following
+            good = following <= width
+            flat_before[(base + following)[good]] = at[good]
+            left = np.concatenate([here, (base + previous)[previous >= 0]])
+            right = np.concatenate([base + np.minimum(following, width), here[previous >= 0]])
+            r, t = table.find(flat_m[left], np.where(flat_m[right] < 0, 0, flat_m[right]))
+            r[: len(here)][flat_m[right[: len(here)]] < 0] = _NONE
+            flat_rank[left], flat_to[left] = r, t
+        keep = made >= 0
+        n = np.count_nonzero(keep, 1)
+        result.append(made[keep])
         place[lot] = offsets(n)[:-1] + done_at
         done_at += int(n.sum())
         out_len[lot] = n
