@@ -13,7 +13,7 @@ The output keeps segments, each under the loss mask or not; the formatted
 conversation is their concatenation.
 
 Defined results: null text, role or parts are empty; turns of one number are
-ordered by role, then text; repeated rows are turns each time; unknown kinds of
+ordered by role, then by their parts as given (kind, text, ref, units); repeated rows are turns each time; unknown kinds of
 parts keep their placeholder under "document"; a null conv_id is a conversation
 of its own; extra columns are ignored; an empty table gives no rows. One
 conversation is one output row, so it has to fit in one (2 GB).
@@ -42,9 +42,21 @@ def _kind(p: Column) -> Column:
 
 
 def visit(parts: Column) -> Column:
-    """The content of a turn: texts escaped, other parts as placeholders, in order."""
-    one = lambda p: F.when(p["kind"] == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit("|>")))
-    return F.array_join(F.transform(parts, one), "")
+    """The content of a turn: texts escaped, other parts as placeholders, in order.
+
+    Texts that follow one another are joined before they are escaped, so that a
+    control string can't be put together from several parts.
+    """
+    state = "struct<out:array<string>,open:array<string>>"
+    joined = lambda a: escaped(F.array_join(a, ""))
+
+    def step(a: Column, p: Column) -> Column:
+        text = F.struct(a["out"].alias("out"), F.concat(a["open"], F.array(F.coalesce(p["text"], F.lit("")))).alias("open"))
+        other = F.struct(F.concat(a["out"], F.array(joined(a["open"]), F.concat(F.lit("<|"), _kind(p), F.lit("|>")))).alias("out"), F.array().cast("array<string>").alias("open"))
+        return F.when(p["kind"] == "text", text).otherwise(other).cast(state)
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(parts, F.struct(none.alias("out"), none.alias("open")).cast(state), step, lambda a: F.concat(F.array_join(a["out"], ""), joined(a["open"])))
 
 
 def attachments(parts: Column) -> Column:
@@ -60,13 +72,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     else:
         parts = F.array(F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
     role = F.coalesce("role", F.lit(""))
-    rows = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), visit(parts).alias("body"), attachments(parts).alias("attached")).alias("t"))
+    rows = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), parts.alias("parts")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     head = lambda t: F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n"))
     no = F.lit(False)
-    of = lambda t: F.array(segment(head(t), no), segment(t["body"], t["role"] == "assistant"), segment(F.lit(END + "\n"), no))
-    attached = F.flatten(F.transform("turns", lambda t: t["attached"]))
+    of = lambda t: F.array(segment(head(t), no), segment(visit(t["parts"]), t["role"] == "assistant"), segment(F.lit(END + "\n"), no))
+    attached = F.flatten(F.transform("turns", lambda t: attachments(t["parts"])))
     out = chats.select("conv_id", F.flatten(F.transform("turns", of)).alias("segments"), attached.alias("attachments"))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
