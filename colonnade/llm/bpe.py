@@ -6,7 +6,10 @@ the pattern, and each distinct piece becomes one row for each of its symbols. A
 recursive query joins neighbouring rows to the merge table and contracts each
 word's leftmost pair of least rank, until no word has a pair left. Decoding joins
 ids to the vocabulary and aggregates bytes in order. All of it is local to a
-task: no shuffle, and memory is bounded by a slice of texts and a cache of pieces.
+task: no shuffle, and memory is bounded by a slice of texts, a cache of pieces and
+a lot of pieces; DuckDB has no folder to spill to. Pieces of _LONG bytes or more,
+which the recursion would contract in quadratic time, have the same pairs merged
+in the same order by a heap.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to
 no bytes; rows are independent, so repeats and ties don't matter; lone
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +36,10 @@ from colonnade.llm.columns import as_text, offsets, ranges, slices
 from colonnade.llm.wordbpe import ragged
 
 _CACHE = 400_000
-_LOT = 60_000
+#: bytes of a lot's pieces, and the sum of their lengths' squares, which bounds what the recursion holds
+_LOT, _SQUARES = 480_000, 6_000_000
+#: bytes from which on a piece is contracted by a heap
+_LONG = 256
 _ODD = r"[\s\x0b]{2}|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^ | $"
 
 CONTRACT = """
@@ -58,7 +65,7 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
         self.ranks, top = ranks, max(ranks.values()) + 1
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "temp_directory": ""})
         left, right, to = [], [], []
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -67,6 +74,7 @@ class ByteBpe:
         pair = np.array(left, np.int64) * 65536 + np.array(right, np.int64)
         merges = pa.table({"pair": pair, "rank": np.array(to, np.int64)})  # noqa: F841  read by DuckDB
         self.db.execute("CREATE TABLE merges AS SELECT pair, rank FROM merges")
+        self.merges = dict(zip(pair.tolist(), to))
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int64()), "bytes": pa.array(list(ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT tok, bytes FROM vocabulary")
         self.bytes: list[bytes] = [b""] * top
@@ -79,18 +87,46 @@ class ByteBpe:
 
     def pieces(self, new: list[str]) -> list[np.ndarray]:
         """Ids of distinct pieces of the pattern, none empty."""
-        out: list[np.ndarray] = []
         raw = [p.encode() for p in new]
-        k = 0
-        while k < len(raw):
-            lot, size = [], 0
-            while k < len(raw) and (not lot or size + len(raw[k]) <= 8 * _LOT):
-                lot.append(raw[k])
-                size += len(raw[k])
-                k += 1
-            out += self._lot(lot)
+        out: list[np.ndarray | None] = [self._long(x) if len(x) >= _LONG else None for x in raw]
+        lot, size, squares = [], 0, 0
+        for k in [k for k, x in enumerate(out) if x is None] + [-1]:
+            if lot and (k < 0 or size + len(raw[k]) > _LOT or squares + len(raw[k]) ** 2 > _SQUARES):
+                for j, ids in zip(lot, self._lot([raw[j] for j in lot])):
+                    out[j] = ids
+                lot, size, squares = [], 0, 0
+            if k >= 0:
+                lot.append(k)
+                size, squares = size + len(raw[k]), squares + len(raw[k]) ** 2
         return out
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        """Ids of one long piece: the same contraction, with a heap of (rank, position) and links between symbols.
+
+        The recursive query needs a step for each merge of a word and keeps them
+        all, so its time and memory grow with the square of a piece's length.
+        """
+        n = len(raw)
+        tok = self.single[np.frombuffer(raw, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        merges = self.merges
+        heap = [(r, k) for k in range(n - 1) if (r := merges.get(tok[k] << 16 | tok[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            j = after[k]
+            if tok[k] < 0 or j >= n or merges.get(tok[k] << 16 | tok[j]) != rank:
+                continue
+            tok[k], tok[j] = rank, -1
+            after[k] = following = after[j]
+            if following < n:
+                before[following] = k
+                if (r := merges.get(rank << 16 | tok[following])) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (i := before[k]) >= 0 and (r := merges.get(tok[i] << 16 | rank)) is not None:
+                heapq.heappush(heap, (r, i))
+        return np.array([x for x in tok if x >= 0], np.int32)
+
     def _lot(self, raw: list[bytes]) -> list[np.ndarray]:
         n = np.fromiter(map(len, raw), np.int64, len(raw))
         word = np.repeat(np.arange(len(raw)), n)
