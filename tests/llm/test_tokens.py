@@ -133,6 +133,22 @@ def test_byte_bpe(docs, rows, tiktoken_encoding):
     assert got == want
 
 
+def test_byte_bpe_of_long_pieces(tiktoken_encoding):
+    import random
+    import time
+
+    rng = random.Random(5)
+    model = bpe.byte_bpe(BYTE, public.PATTERN)
+    texts = ["x" * 5000, "ab" * 3000, *("".join(rng.choices("etaoinshrdlu", k=n)) for n in (100, 255, 256, 257, 4000)), "=" * 700]
+    ids, at = model.encode(pa.array(texts, pa.large_string()))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == tiktoken_encoding.encode_ordinary(t)
+    began = time.time()
+    whole = "".join(rng.choices("etaoinshrdlu", k=1 << 20))
+    ids, _ = model.encode(pa.array([whole], pa.large_string()))
+    assert time.time() - began < 60 and b"".join(model.bytes[k] for k in ids.tolist()).decode() == whole
+
+
 def test_byte_bpe_of_nothing(empty):
     assert bpe.digests(empty, BYTE, public.PATTERN).count() == 0
 
