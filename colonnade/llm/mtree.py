@@ -6,19 +6,23 @@ has pages of routing objects with covering radii and distances to the parent; a
 search takes pages by least possible distance, and stored distances rule out
 entries (by the triangle inequality) before any distance is computed. Scores are
 integers, so results are exact, ties included; bounds keep a slack below one
-unit of score. Queries are searched in batches: each takes the pages of a node in
-its own best-first order, and those that are at one page share its distances. Blocks have a fixed size: no task grows with the table, and the
+unit of score. Queries are searched in batches by one best-first queue of pages: an entry is a
+page with the queries that have it in one place of their own order, keyed by
+their least bound, and those queries share the page's distances. Blocks have a fixed size: no task grows with the table, and the
 k best of each query and block are merged by a ranked shuffle.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
-components take no part, nor do those whose length differs from the most common
-one of the block's query; a query has fewer than k rows if there are fewer
+components take no part; a query is compared with the vectors of its own length;
+scores are exact below 2^53; a query has fewer than k rows if there are fewer
 candidates; a repeated vec_id is a row each time, and a query leaves out every
 row of its own id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -76,39 +80,51 @@ class MTree:
         skip: each query's own id, whose rows don't count. Ties at the k-th place go to smaller ids.
         """
         state = _Search(queries, k, skip, slack, float((self.points**2).sum(1).max(initial=0)))
+        everyone = np.arange(len(queries))
         d = np.sqrt(np.maximum(((queries - self.root.center) ** 2).sum(1), 0))
-        self._visit(self.root, np.arange(len(queries)), d, state)
+        queue = [(0.0, 0, self.root, everyone, d, np.zeros(len(queries)))]
+        pushed = 1
+        while queue:
+            _, _, node, who, dist, bound = heapq.heappop(queue)
+            go = bound <= state.reach(who)
+            if not go.any():
+                continue
+            who, dist = who[go], dist[go]
+            if node.leaf:
+                self._scan(node, who, dist, state)
+                continue
+            for entry in self._open(node, who, dist, state):
+                heapq.heappush(queue, (entry[0], pushed, *entry[1:]))
+                pushed += 1
         return state.score, state.ids
 
-    def _visit(self, node: Node, who: np.ndarray, dist: np.ndarray, state: _Search) -> None:
+    def _scan(self, node: Node, who: np.ndarray, dist: np.ndarray, state: _Search) -> None:
+        reach = state.reach(who)
+        a, b = np.searchsorted(node.to_parent, dist - reach), np.searchsorted(node.to_parent, dist + reach, "right")
+        use = a < b
+        if use.any():
+            a, b, who = int(a[use].min()), int(b[use].max()), who[use]
+            self.computed += (b - a) * len(who)
+            state.add(who, state.queries[who] @ node.entries[a:b].T, node.ids[a:b])
+
+    def _open(self, node: Node, who: np.ndarray, dist: np.ndarray, state: _Search) -> Iterator[tuple]:
+        """Queue entries: each child with the queries that have it in one place of their own order, keyed by their least bound."""
         reach = state.reach(who)
-        if node.leaf:
-            a, b = np.searchsorted(node.to_parent, dist - reach), np.searchsorted(node.to_parent, dist + reach, "right")
-            use = a < b
-            if use.any():
-                a, b, who = int(a[use].min()), int(b[use].max()), who[use]
-                self.computed += (b - a) * len(who)
-                state.add(who, state.queries[who] @ node.entries[a:b].T, node.ids[a:b])
-            return
         radius = np.array([c.radius for c in node.children])
         maybe = np.abs(dist[:, None] - node.to_parent) - radius <= reach[:, None]
-        low = np.full(maybe.shape, np.inf)
+        far = np.full(maybe.shape, np.inf)
         for c in np.flatnonzero(maybe.any(0)):
             q = np.flatnonzero(maybe[:, c])
-            low[q, c] = np.sqrt(np.maximum(((state.queries[who[q]] - node.entries[c]) ** 2).sum(1), 0))
+            far[q, c] = np.sqrt(np.maximum(((state.queries[who[q]] - node.entries[c]) ** 2).sum(1), 0))
         self.computed += int(maybe.sum())
-        far = low
         low = np.maximum(far - radius, 0)
         order = np.argsort(low, 1)
         for turn in range(len(node.children)):
             child = order[:, turn]
             bound = low[np.arange(len(who)), child]
-            go = bound <= state.reach(who)
-            if not go.any():
-                break
-            for c in np.unique(child[go]):
-                at = np.flatnonzero(go & (child == c))
-                self._visit(node.children[c], who[at], far[at, c], state)
+            for c in np.unique(child[bound <= reach]):
+                at = np.flatnonzero((child == c) & (bound <= reach))
+                yield float(bound[at].min()), node.children[c], who[at], far[at, c], bound[at]
 
 
 class _Search:
