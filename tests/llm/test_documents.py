@@ -17,7 +17,7 @@ BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def test_shards(docs, rows):
-    got = sharding.shard(docs, shards=5, fine=8).collect()
+    got = sharding.shard(docs, shards=5).collect()
     assert len(got) == len(rows)
     text = {r[0]: r[1] for r in rows}
     of, bytes_, slots = {}, Counter(), defaultdict(list)
@@ -44,10 +44,52 @@ def test_shards_of_nothing(empty):
     assert sharding.shard(empty).count() == 0
 
 
+def bin_of_each(runs, sizes):
+    """{item: bin} of runs of sizes; items of one size are numbered in their order."""
+    of = defaultdict(list)
+    for k, s in enumerate(sizes):
+        of[s].append(k)
+    out = {of[s][j]: b for s, i0, i1, b in runs for j in range(i0, i1)}
+    assert sum(i1 - i0 for _, i0, i1, _ in runs) == len(out)
+    return out
+
+
+def best_fit_by_force(sizes, capacity):
+    rooms, out = [], {}
+    for s, k in sorted(((s, k) for k, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
+        fits = [b for b, room in enumerate(rooms) if room >= s]
+        out[k] = min(fits, key=lambda b: (rooms[b], b)) if fits else len(rooms)
+        if not fits:
+            rooms.append(capacity)
+        rooms[out[k]] -= s
+    return out, len(rooms)
+
+
+def test_shards_equal_the_packing_group_by_group(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(400)] + [None] * 3 + ["z" * 70] * 2 + ["y" * 3000]
+    df = spark.createDataFrame([(n if n % 7 else None, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = sharding.shard(df, shards=6).collect()
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t or "") + 8
+    order = sorted(groups, key=lambda t: b"-" if t is None else hashlib.md5(t.encode()).digest())
+    big = [t for t in order if groups[t] * 6 > sum(groups.values())]
+    rest = [t for t in order if t not in big]
+    assert len(big) == 1
+    capacity = next(c for c in range(-(-sum(groups[t] for t in rest) // 5), 10**6) if best_fit_by_force([groups[t] for t in rest], c)[1] <= 5)
+    bins, _ = best_fit_by_force([groups[t] for t in rest], capacity)
+    want = Counter({(zlib.crc32((t or "").encode()), 0 if t in big else 1 + bins[rest.index(t)]): texts.count(t) for t in groups if t})
+    assert Counter((r["text_crc32"], r["shard"]) for r in got if r["text_crc32"]) == want
+    assert sum(r["doc_id"] is None for r in got) == sum(n % 7 == 0 for n in range(len(texts)))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=40), st.integers(1, 6))
 def test_even_bins(sizes, bins):
-    got = sharding.even_bins([(s, k) for k, s in enumerate(sizes)], bins)
+    got = bin_of_each(sharding.even_bins(Counter(sizes), bins), sizes)
     assert set(got) == set(range(len(sizes))) and set(got.values()) <= set(range(bins))
     loads = Counter()
     for k, b in got.items():
@@ -59,7 +101,7 @@ def test_even_bins(sizes, bins):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=40))
 def test_best_fit_uses_the_tightest_bin(sizes):
-    got = sharding.best_fit_decreasing([(s, k) for k, s in enumerate(sizes)], 30)
+    got = bin_of_each(sharding.best_fit_decreasing(Counter(sizes), 30), sizes)
     rooms = []
     for s, k in sorted(((s, k) for k, s in enumerate(sizes)), key=lambda x: (-x[0], x[1])):
         fits = [b for b, room in enumerate(rooms) if room >= s]
