@@ -70,7 +70,7 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 300) -> tuple[dict[str
     often = Counter({f: k for f, k in counted(1, None).items() if k >= LEAST_DOCS})
     clean = counted(0, set(often))
     odds = lambda f: math.log((often[f] + 0.1) / (n[1] + 0.2)) - math.log((clean[f] + 0.1) / (n[0] + 0.2))
-    index = {f: k for k, f in enumerate(f for f in often if odds(f) >= LEAST_ODDS)}
+    index = {f: k for k, f in enumerate(sorted(f for f in often if odds(f) >= LEAST_ODDS))}  # sorted: sums of floats depend on the order
     if not index:
         return {}, LEAK
     row, column, doc, empty = [], [], [], np.zeros(len(texts))

@@ -325,6 +325,17 @@ def test_toxicity(spark, docs):
     assert toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def test_toxicity_of_held_out_labels(spark):
+    at = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{at}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id").select("toxic", "predicted").collect()
+    caught = np.mean([r["predicted"] for r in got if r["toxic"] == 1])
+    left = np.mean([1 - r["predicted"] for r in got if r["toxic"] == 0])
+    assert len(got) > 500 and caught > 0.9 and left > 0.98, (len(got), caught, left)
+    assert toxicity.train(docs, labels).weights == model.weights
+
+
 def test_toxicity_of_long_texts(spark):
     model = toxicity.Model({"=zonk": 12.0, "=bilge": 6.0, "bilg*": 3.0}, toxicity.LEAK)
     clean = "\n".join(f"this is line {k} of a clean text" for k in range(100_000))
