@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ from colonnade.llm.sparkio import drop_stored, stored
 WORDS = 5
 #: (k, shared): a pair at the threshold shares at least ``shared`` of its ``k`` least hashes
 SCREEN, SKETCH = (24, 8), (128, 83)
-FILTER_BITS = 1 << 28
+FILTER_BITS, KEY_BITS = 1 << 28, (1 << 40) - 1
 #: members and bytes of sets in a block
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: rows of one long that may be broadcast
@@ -90,7 +91,7 @@ def class_key(fp: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, fp (of the whole set) and class (its first bytes) of each row."""
+    """doc_id (of any type), n_shingles, fp (of the whole set) and class (its first bytes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
@@ -98,7 +99,7 @@ def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
             fp = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(map(class_key, fp), pa.int64())], ["doc_id", "n_shingles", "fp", "class"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, class long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, fp binary, class long")
 
 
 def needed(size: int | np.ndarray, percent: int, shared: int) -> int | np.ndarray:
@@ -107,34 +108,38 @@ def needed(size: int | np.ndarray, percent: int, shared: int) -> int | np.ndarra
 
 
 def retained(docs: DataFrame, n: int, percent: int, k: int, shared: int) -> DataFrame:
-    """value, class, need: the k least hashes of each class, once for each task that meets it."""
+    """value, class: the k least hashes of each class, once for each task that meets it.
+
+    class is 40 bits of the class's key, then 8 of how many of its values it has
+    to share: what is shuffled stays short. Classes that are taken for one only
+    let each other pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, 4 << 20):
             found = {}
             for s in shingle_sets(as_text(batch.column("text")), n):
-                of = class_key(fingerprint(s))
-                if len(s) and of not in seen:
-                    seen.add(of)
-                    found[of] = s[:k]
+                if len(s):
+                    of = (class_key(fingerprint(s)) & KEY_BITS) << 8 | int(needed(min(k, len(s)), percent, shared))
+                    if of not in seen:
+                        seen.add(of)
+                        found[of] = s[:k]
             if found:
-                size = np.array([len(s) for s in found.values()])
                 flat = (np.concatenate(list(found.values())) ^ SIGN).view(np.int64)
-                of = np.repeat(np.array(list(found), np.int64), size)
-                need = np.repeat(needed(size, percent, shared).astype(np.int32), size)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(of), pa.array(need)], ["value", "class", "need"])
+                of = np.repeat(np.array(list(found), np.int64), [len(s) for s in found.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(of)], ["value", "class"])
 
-    return docs.select("text").mapInArrow(run, "value long, class long, need int")
+    return docs.select("text").mapInArrow(run, "value long, class long")
 
 
 def screened(docs: DataFrame, n: int, percent: int, k: int, shared: int) -> DataFrame:
-    """class: those that share enough of their retained values with any other class."""
+    """class (40 bits of its key): those that share enough of their retained values with any other class."""
     lists = retained(docs, n, percent, k, shared)
     several = lists.groupBy("value").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("value")
     # a class that several tasks met is counted once for each value
-    met = lists.join(several, "value", "left_semi").groupBy("class", "need").agg(F.count_distinct("value").alias("met"))
-    return met.where("met >= need").select("class")
+    met = lists.join(several, "value", "left_semi").groupBy("class").agg(F.count_distinct("value").alias("met"))
+    return met.where("met >= (class & 255)").select(F.expr("shiftright(class, 8)").alias("class"))
 
 
 def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -155,7 +160,7 @@ def class_sets(docs: DataFrame, rows: DataFrame, n: int, bits: int) -> DataFrame
     as the texts are read, so that no text is shuffled. Rows that share both, and
     those that slip in, are vertices of their own with equal or unneeded sets.
     """
-    at = F.col("class").bitwiseXOR(F.coalesce("least", F.lit(0)))
+    at = F.col("class").bitwiseXOR(F.xxhash64("least"))
     spread = docs.sparkSession.sparkContext.broadcast(membership(rows.select(at.alias("key")), "key", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +168,16 @@ def class_sets(docs: DataFrame, rows: DataFrame, n: int, bits: int) -> DataFrame
         held = spread.value
         for batch in slices(batches, 4 << 20):
             found = {}
-            ids = pc.fill_null(batch.column("doc_id"), 0).to_pylist()
-            for doc, s in zip(ids, shingle_sets(as_text(batch.column("text")), n)):
+            for at, s in zip(batch.column("at").to_pylist(), shingle_sets(as_text(batch.column("text")), n)):
                 fp = fingerprint(s)
-                key = (class_key(fp) ^ doc) & (bits - 1)
+                key = (class_key(fp) ^ at) & (bits - 1)
                 if len(s) and held[key >> 3] >> (key & 7) & 1 and fp not in seen:
                     seen.add(fp)
                     found[fp] = s
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), as_longs(list(found.values()))], ["fp", "set"])
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "fp binary, set array<long>")
+    sets = docs.select(F.xxhash64("doc_id").alias("at"), "text").mapInArrow(run, "fp binary, set array<long>")
     return stored(sets.select(F.monotonically_increasing_id().alias("v"), "fp", "set"), "sets")
 
 
@@ -360,36 +364,64 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = WORDS, screen: tuple[int, int] = SCREEN, sketch: tuple[int, int] = SKETCH, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
+    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, n, screen, sketch, bits)[0]
+
+
+def judged(docs: DataFrame, percent: int = 85, n: int = WORDS, screen: tuple[int, int] = SCREEN, sketch: tuple[int, int] = SKETCH, bits: int = FILTER_BITS) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates of docs (doc_id, of any type that has an order, and text), and the stored tables that it reads."""
     base = stored(fingerprints(docs, n), "fingerprints")
     first = base.where("n_shingles > 0").groupBy("fp", "class").agg(F.min("doc_id").alias("least"))
-    sets = class_sets(docs, first.join(screened(docs, n, percent, *screen), "class", "left_semi"), n, bits)
+    among = screened(docs, n, percent, *screen).withColumnRenamed("class", "key")
+    sets = class_sets(docs, first.withColumn("key", F.expr(f"class & {KEY_BITS}L")).join(among, "key", "left_semi"), n, bits)
     lists = stored(prefixes(sets, percent, *sketch), "lists")
     placed = blocks(lists, sets)
     inside = stored(links_inside(placed, sets, percent, sketch), "links")
     labels = components(inside)
     between = stored(links_between(lists, placed, labels, sets, percent, sketch), "links")
+    drop_stored(labels)
     labels = components(inside.union(between))
     # a class without links is left out here, and its own component; vertices of one class are linked to each other
-    label = sets.select("v", "fp").join(labels, "v").groupBy("fp").agg(F.min("label").alias("label"))
+    label = stored(sets.select("v", "fp").join(labels, "v").groupBy("fp").agg(F.min("label").alias("label")), "classes")
+    for table in (sets, lists, placed, inside, between, labels):
+        drop_stored(table)
     whole = label.join(first, "fp").groupBy("label").agg(F.min("least").alias("linked"))
     of = first.join(label, "fp", "left").join(whole, "label", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
     out = base.join(of, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), [base, label]
+
+
+def file_rows(docs: DataFrame) -> DataFrame | None:
+    """docs with __row, each row's place in its file (a hash of the path, and the number there), where docs is a plain reading of files."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if not node.nodeName().startswith(("LogicalRelation", "Relation")) or "_metadata" in docs.columns:
+        return None
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn("__row", place)
+    except AnalysisException:  # files of a kind whose rows have no numbers
+        return None
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """One row of each component of rows, with all its columns: the least doc_id's, null after all others.
 
-    Rows are told apart by a number of their own, so null and repeated ids
-    neither lose a row nor keep a second one. The numbered rows are written to
-    the shared folder, as a later reading might number them otherwise. The rows
-    that go are broadcast if they are at most FEW, and joined by a shuffle beyond.
+    Rows are told apart by their places in their files, so null and repeated ids
+    neither lose a row nor keep a second one. Rows that come from anywhere else
+    are numbered and written to the shared folder first, as a later reading might
+    number them otherwise. The rows that go are broadcast if they are at most
+    FEW, and joined by a shuffle beyond.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    got = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
+    rows = file_rows(docs)
+    if rows is None:
+        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    got, read = judged(rows.select(F.col("__row").alias("doc_id"), "text"), **options)
     ids = rows.select("__row", F.col("doc_id").alias("__id"))
     of = got.select(F.col("doc_id").alias("__row"), "component_id").join(ids, "__row")
     first = of.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     gone = stored(of.join(first, "component_id").where("__row <> __first").select("__row"), "gone")
+    for table in read:
+        drop_stored(table)
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
     return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
