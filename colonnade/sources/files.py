@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+from colonnade.session import materialized
 
 Filter = tuple[str, str, object]
 
@@ -95,8 +98,14 @@ def read_csv(
     include_columns: Sequence[str] | None = None, include_missing: bool = False, column_types: dict[str, str] | None = None, null_values: Sequence[str] = NULLS, strings_can_be_null: bool = False,
     true_values: Sequence[str] = (), decimal_point: str = ".", infer: bool = True,
 ) -> DataFrame:
-    """All columns are read as text; one aggregation over the whole file then finds the type that all values of a column have."""
-    r = spark.read.option("header", header and column_names is None).option("sep", delimiter).option("quote", quote).option("escape", quote if double_quote else "\\").option("multiLine", False).option("nullValue", "\u0000").option("emptyValue", "")
+    """All columns are read as text; one aggregation over the whole file then finds the type that all values of a column have.
+
+    Files stay splittable unless a quoted value may hold a line end, which a line
+    with an odd number of quotes shows; then each file is read by one task.
+    """
+    quotes = F.length("value") - F.length(F.regexp_replace("value", re.escape(quote), ""))
+    lines_quoted = bool(quote) and (not double_quote or not spark.read.text(path).where(quotes % 2 == 1).isEmpty())
+    r = spark.read.option("header", header and column_names is None).option("sep", delimiter).option("quote", quote).option("escape", quote if double_quote else "\\").option("multiLine", lines_quoted).option("nullValue", "\u0000").option("emptyValue", "")
     if skip_rows:
         lines = spark.read.text(path).withColumn("__at", F.col("_metadata.file_block_start")).rdd.zipWithIndex().filter(lambda x: x[1] >= skip_rows).map(lambda x: x[0][0])
         df = r.csv(lines)
@@ -234,8 +243,11 @@ def _plain(t: pa.DataType) -> pa.DataType:
     return pa.binary() if pa.types.is_fixed_size_binary(t) else up.get(t, t)
 
 
-def write_ipc(df: DataFrame, uri: str, compression: str | None = "zstd") -> DataFrame:
-    """Writes one IPC file for each partition to a store that all executors reach; returns file and rows.
+def write_ipc(df: DataFrame, uri: str, compression: str | None = "zstd", mode: str = "overwrite") -> DataFrame:
+    """Writes one IPC file for each partition to a store that all machines reach; returns file and rows.
+
+    ``overwrite`` removes the parts that the folder holds, ``append`` keeps them
+    and ``error`` refuses them. A table without rows gives a file of its schema.
 
     A file is written under a name of its attempt and then renamed, so that a task that is run again leaves no half file.
     """
@@ -247,7 +259,7 @@ def write_ipc(df: DataFrame, uri: str, compression: str | None = "zstd") -> Data
         store, base = fs.FileSystem.from_uri(uri)
         context = TaskContext.get()
         store.create_dir(base, recursive=True)
-        part = f"{base}/part-{context.partitionId():05d}.arrow"
+        part = f"{base}/part-{name}{context.partitionId():05d}.arrow"
         temporary, writer, rows = f"{base}/.attempt-{context.taskAttemptId()}", None, 0
         for batch in batches:
             if writer is None:
@@ -261,5 +273,23 @@ def write_ipc(df: DataFrame, uri: str, compression: str | None = "zstd") -> Data
             store.move(temporary, part)
             yield pa.RecordBatch.from_pydict({"file": [part], "rows": pa.array([rows], pa.int64())})
 
-    done = df.mapInArrow(run, "file string, rows long")
-    return df.sparkSession.createDataFrame(done.collect(), "file string, rows long")  # one row for each file
+    from pyarrow import fs
+
+    if mode not in ("overwrite", "append", "error"):
+        raise ValueError(f"mode is overwrite, append or error, not {mode!r}")
+    store, base = fs.FileSystem.from_uri(uri)
+    old = [f.path for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("part-") and f.base_name.endswith(".arrow")]
+    if old and mode == "error":
+        raise FileExistsError(f"{uri} holds {len(old)} parts")
+    name = f"{uuid.uuid4().hex[:8]}-" if mode == "append" else ""
+    if mode == "overwrite" and old:
+        df = materialized(df)  # it may read what is removed now
+        for path in old:
+            store.delete_file(path)
+    done = df.mapInArrow(run, "file string, rows long").collect()  # one row for each file
+    if not done and not (old and mode == "append"):
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/part-{name}00000.arrow") as sink:
+            pa.ipc.new_file(sink, to_arrow_schema(df.schema)).close()
+        done = [(f"{base}/part-{name}00000.arrow", 0)]
+    return df.sparkSession.createDataFrame(done, "file string, rows long")

@@ -10,12 +10,13 @@ import datetime
 import decimal
 import io
 import json
+import re
 import struct
 import urllib.parse
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,28 @@ def _may_hold(stats: dict, filters: Sequence[Filter]) -> bool:
     return True
 
 
+def _partition_may_hold(values: dict, filters: Sequence[Filter]) -> bool:
+    """Whether a partition (its values as the log's texts) may hold rows that pass the filters on its columns."""
+    for name, op, value in filters:
+        held = values.get(name)
+        if op not in _STATS or isinstance(value, bool) or not isinstance(value, (int, float, str)):
+            continue
+        if held in (None, ""):
+            return False  # null passes no comparison
+        try:
+            held = held if isinstance(value, str) else float(held)
+        except ValueError:
+            continue
+        if not _STATS[op](held, held, value):
+            return False
+    return True
+
+
+def _bare(path: Column) -> Column:
+    """A file's path without scheme and leading slashes, decoded."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^(?:[^:/]+:)?/+", "")
+
+
 class DeltaSnapshot:
     """The state of a Delta table's log at a version (the last one by default)."""
 
@@ -103,10 +126,14 @@ class DeltaSnapshot:
         physical = {f.name: (f.metadata or {}).get("delta.columnMapping.physicalName", f.name) for f in schema.fields}
         parts = list(self.metadata.get("partitionColumns", []))
         named = {p: physical.get(p, p) for p in parts}
+        # comparisons of a text with texts or a number with numbers choose partitions; the filter itself does the rest
+        kind = {f.name: str if isinstance(f.dataType, T.StringType) else (int, float) if isinstance(f.dataType, T.NumericType) else () for f in schema.fields if f.name in parts}
+        choosing = [(named[c], op, v) for c, op, v in filters if c in kind and isinstance(v, kind[c])]
         adds = []
         for add in self.adds.values():
             stats = json.loads(add["stats"]) if add.get("stats") else {}
-            if _may_hold(stats, [(physical.get(c, c), op, v) for c, op, v in filters if c not in parts]):
+            inside_file = _may_hold(stats, [(physical.get(c, c), op, v) for c, op, v in filters if c not in parts])
+            if inside_file and _partition_may_hold(add.get("partitionValues", {}), choosing):
                 adds.append(add)
         inside = T.StructType([T.StructField(physical[f.name], f.dataType, True) for f in schema.fields if f.name not in parts])
         if not adds:
@@ -115,10 +142,16 @@ class DeltaSnapshot:
             full = lambda p: p if "://" in p or p.startswith("/") else f"{self.path}/{urllib.parse.unquote(p)}"
             df = spark.read.schema(inside).parquet(*[full(a["path"]) for a in adds])
             if parts:
-                key = lambda p: urllib.parse.unquote(p).rpartition("/")[2]
-                rows = [(key(a["path"]), *[a.get("partitionValues", {}).get(named[p]) or None for p in parts]) for a in adds]
+                whole = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+                base = whole(self.path)
+                base = re.sub("^(?:[^:/]+:)?/+", "", base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString())
+                key = lambda p: re.sub("^(?:[^:/]+:)?/+", "", p if "://" in p or p.startswith("/") else f"{base}/{p}")
+                rows = [(key(urllib.parse.unquote(a["path"])), *[a.get("partitionValues", {}).get(named[p]) or None for p in parts]) for a in adds]
                 values = spark.createDataFrame(rows, ", ".join(["__file string", *[f"`__p{n}` string" for n in range(len(parts))]]))
-                df = df.withColumn("__file", F.element_at(F.split(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/"), -1)).join(F.broadcast(values), "__file")  # one row for each file
+                values = F.broadcast(values) if len(rows) <= 1_000_000 else values  # one row for each file
+                df = df.withColumn("__at", _bare(F.col("_metadata.file_path"))).join(values, F.col("__at") == F.col("__file"), "left")
+                lost = F.raise_error(F.concat(F.lit("no partition is known of "), F.col("__at")))
+                df = df.withColumn("__p0", F.when(F.col("__file").isNull(), lost).otherwise(F.col("__p0")))
             kinds = {f.name: f.dataType for f in schema.fields}
             df = df.select(*[F.col(f"`__p{parts.index(f.name)}`").cast(kinds[f.name]).alias(f.name) if f.name in parts else F.col(f"`{physical[f.name]}`").alias(f.name) for f in schema.fields])
         df = df.where(condition(filters)) if filters else df

@@ -152,3 +152,52 @@ def test_avro_types():
     schema = {"type": "record", "name": "r", "fields": [{"name": "a", "type": ["null", "double"]}, {"name": "m", "type": {"type": "map", "values": "long"}}, {"name": "f", "type": {"type": "fixed", "name": "fx", "size": 2}}, {"name": "g", "type": "fx"}, {"name": "e", "type": {"type": "enum", "name": "en", "symbols": ["x", "y"]}}]}
     row = _zigzag(1) + struct.pack("<d", 1.5) + _zigzag(1) + _text("k") + _zigzag(-3) + _zigzag(0) + b"hi" + b"ho" + _zigzag(1)
     assert read_avro(_avro_file(schema, [row])) == [{"a": 1.5, "m": {"k": -3}, "f": b"hi", "g": b"ho", "e": "y"}]
+
+
+def test_delta_partitions_with_equal_file_names(spark, tmp_path):
+    import json
+    import urllib.parse
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from colonnade.sources.lakehouse import read_delta
+
+    at = tmp_path / "tab le"
+    (at / "_delta_log").mkdir(parents=True)
+    fields = [{"name": "id", "type": "long", "nullable": True, "metadata": {}}, {"name": "p", "type": "string", "nullable": True, "metadata": {}}, {"name": "k", "type": "integer", "nullable": True, "metadata": {}}]
+    log = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": {"id": "t", "format": {"provider": "parquet"}, "schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": ["p", "k"]}}]
+    for n, (p, k) in enumerate([("a", "1"), ("b c", "2"), ("d%", "10"), (None, None)]):
+        folder = f"p={urllib.parse.quote(p) if p else '__HIVE_DEFAULT_PARTITION__'}/k={k}"
+        (at / folder).mkdir(parents=True)
+        pq.write_table(pa.table({"id": [2 * n, 2 * n + 1]}), at / folder / "part-00000.parquet")
+        log.append({"add": {"path": urllib.parse.quote(f"{folder}/part-00000.parquet"), "partitionValues": {"p": p, "k": k}, "size": 1, "modificationTime": 0, "dataChange": True}})
+    (at / "_delta_log" / f"{0:020d}.json").write_text("\n".join(map(json.dumps, log)))
+    got = sorted((r["id"], r["p"], r["k"]) for r in read_delta(spark, str(at)).collect())
+    assert got == [(0, "a", 1), (1, "a", 1), (2, "b c", 2), (3, "b c", 2), (4, "d%", 10), (5, "d%", 10), (6, None, None), (7, None, None)]
+    for filters, ids in ([("p", "=", "a")], [0, 1]), ([("k", ">", 5)], [4, 5]), ([("k", "<", 5), ("p", ">=", "b")], [2, 3]):
+        df = read_delta(spark, str(at), filters=filters)
+        assert sorted(r["id"] for r in df.collect()) == ids and len(df.inputFiles()) == 1
+
+
+def test_csv_quoted_line_ends(spark, tmp_path):
+    from colonnade.sources.files import read_csv
+
+    (tmp_path / "a.csv").write_text('n,t\n1,"x\ny"\n2,z\n3,"he said ""so"""\n')
+    df = read_csv(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes)["n"] == "bigint" and sorted(map(tuple, df.collect())) == [(1, "x\ny"), (2, "z"), (3, 'he said "so"')]
+
+
+def test_ipc_modes_and_empty_tables(spark, tmp_path):
+    from colonnade.sources.files import read_ipc, write_ipc
+
+    uri = f"file://{tmp_path}/ipc"
+    write_ipc(spark.range(10).repartition(4), uri)
+    write_ipc(spark.range(3).coalesce(1), uri)
+    assert read_ipc(spark, uri).count() == 3
+    write_ipc(spark.range(2), uri, mode="append")
+    assert read_ipc(spark, uri).count() == 5
+    with pytest.raises(FileExistsError):
+        write_ipc(spark.range(1), uri, mode="error")
+    write_ipc(spark.range(5).where("id < 0"), uri)
+    assert read_ipc(spark, uri).count() == 0 and read_ipc(spark, uri).columns == ["id"]
