@@ -106,3 +106,16 @@ def test_unicode(spark):
     assert column(df, unicode.utf8_normalize("s")) == ["é", None]
     assert column(df, unicode.normal_ppf("q"))[0] == pytest.approx(1.959964, abs=1e-6)
     assert column(df.withColumn("s", F.lit("xa1")), unicode.regex_spans("s", r"([a-z])(\d)"))[0] == [{"start": 1, "length": 1}, {"start": 2, "length": 1}]
+
+
+def test_options(spark):
+    from colonnade.functions.options import OPTIONS, others
+    from colonnade.functions.registry import call, expression
+
+    df = spark.createDataFrame([("hello", 5), ("Hannah", 9), (None, None)], "t string, k bigint")
+    got = df.select(call("starts_with", s="t", options={"pattern": "Han"}), call("replace_substring", s="t", options={"pattern": "l'", "replacement": "x"}), call("count_substring", s="t", options={"pattern": "n"}), call("is_in", i="k", options={"value_set": [9, 10]})).collect()
+    assert [tuple(r) for r in got] == [(False, "hello", 0, False), (True, "Hannah", 2, True), (None, None, None, False)]
+    assert df.select(call("quantile", i="k", options={"q": 1.0})).first()[0] == 9 and df.select(call("stddev", i="k", options={"ddof": "1"})).first()[0] == pytest.approx(8**0.5)
+    with pytest.raises(TypeError):
+        call("starts_with", s="t", options={"width": 3})
+    assert all(expression(name, options=others(name)) != expression(name) for name in OPTIONS)
