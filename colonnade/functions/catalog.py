@@ -132,7 +132,7 @@ _add(
     ("modulo", _FLOORED, "((i % nullif(j, 0)) + j) % nullif(j, 0)"),
     ("modulo_checked", f"CASE WHEN j = 0 THEN {_raise('BIGINT', 'divide by zero')} ELSE ((i % j) + j) % j END", "((i % nullif(j, 0)) + j) % nullif(j, 0)"),
     ("negate_checked", f"CASE WHEN i = -9223372036854775807L - 1 THEN {_raise('BIGINT', 'overflow')} ELSE -i END", "-i"),
-    ("power_checked", f"CASE WHEN n < 0 THEN {_raise('BIGINT', 'integers to negative integer powers are not allowed')} ELSE reduce(array_repeat(i, n), 1L, (a, v) -> coalesce(try_multiply(a, v), {_raise('BIGINT', 'overflow')})) END", None),
+    ("power_checked", f"CASE WHEN i IS NULL OR n IS NULL THEN NULL WHEN n < 0 THEN {_raise('BIGINT', 'integers to negative integer powers are not allowed')} WHEN i IN (0, 1) THEN if(n = 0, 1L, i) WHEN i = -1 THEN if(n % 2 = 0, 1L, -1L) WHEN n > 63 THEN {_raise('BIGINT', 'overflow')} ELSE reduce(array_repeat(i, n), 1L, (a, v) -> coalesce(try_multiply(a, v), {_raise('BIGINT', 'overflow')})) END", None),
     ("sqrt_checked", f"CASE WHEN x < 0 THEN {_raise('DOUBLE', 'square root of negative number')} ELSE sqrt(x) END", "sqrt(x)", "d"),
     ("expm1", "expm1(y)", "exp(y) - 1", "d"),
     ("hypot", "hypot(x, y)", f"CASE WHEN x IS NULL OR y IS NULL THEN NULL ELSE sqrt(x * x + y * y) END", "d"),

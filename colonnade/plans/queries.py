@@ -63,12 +63,13 @@ def three_way_join(spark, d):
     return j.group_by("c_mktsegment", "o_orderpriority").agg(n=("count", None), most=("max", "o_totalprice")).with_columns(most=F.round("most", 2)).df
 
 
-_SIDES = "(SELECT c_custkey AS k, c_name AS name, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0) l {how} JOIN (SELECT o_custkey AS k, max(o_totalprice) AS v, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) r ON l.k = r.k"
+# Keys of which both sides leave some unmatched: floors of balances and of prices.
+_SIDES = "(SELECT CAST(floor(c_acctbal) AS BIGINT) AS k, c_name AS name, c_nationkey AS v FROM customer) l {how} JOIN (SELECT CAST(floor(o_totalprice / 100) AS BIGINT) AS k, max(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1) r ON l.k = r.k"
 
 
 def _sides(spark, d):
-    left = _t(spark, d, "customer").filter("c_custkey % 3 <> 0").select(("k", "c_custkey"), ("name", "c_name"), ("v", "c_nationkey"))
-    right = _t(spark, d, "orders").filter("o_custkey % 2 = 0").group_by(("k", "o_custkey")).agg(v=("max", "o_totalprice"), n=("count", None))
+    left = _t(spark, d, "customer").with_columns(k=F.floor("c_acctbal").cast("long")).select("k", ("name", "c_name"), ("v", "c_nationkey"))
+    right = _t(spark, d, "orders").with_columns(k=F.floor(F.col("o_totalprice") / 100).cast("long")).group_by("k").agg(v=("max", "o_totalprice"), n=("count", None))
     return left, right
 
 
@@ -81,25 +82,6 @@ for _how, _duck in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("
     _cols = "l.k, name, l.v" if _how in ("semi", "anti") else "coalesce(l.k, r.k) AS k, name, l.v AS v, r.v AS v_right, n"
     ORACLE_SQL[f"join_{_how}"] = f"SELECT {_cols} FROM {_SIDES.format(how=_duck)}"
 
-# The same over whole tables, on keys of which both sides leave some unmatched: floors of balances and of prices.
-_WHOLE_SIDES = "(SELECT CAST(floor(c_acctbal) AS BIGINT) AS k, c_name AS name, c_nationkey AS v FROM customer) l {how} JOIN (SELECT CAST(floor(o_totalprice / 100) AS BIGINT) AS k, max(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1) r ON l.k = r.k"
-
-
-def _whole_sides(spark, d):
-    left = _t(spark, d, "customer").with_columns(k=F.floor("c_acctbal").cast("long")).select("k", ("name", "c_name"), ("v", "c_nationkey"))
-    right = _t(spark, d, "orders").with_columns(k=F.floor(F.col("o_totalprice") / 100).cast("long")).group_by("k").agg(v=("max", "o_totalprice"), n=("count", None))
-    return left, right
-
-
-for _how, _duck in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("semi", "SEMI"), ("anti", "ANTI")):
-    def _whole_join(spark, d, how=_how):
-        left, right = _whole_sides(spark, d)
-        return left.join(right, "k", how).df
-
-    QUERIES[f"join_{_how}_whole"] = _whole_join
-    _cols = "l.k, name, l.v" if _how in ("semi", "anti") else "coalesce(l.k, r.k) AS k, name, l.v AS v, r.v AS v_right, n"
-    ORACLE_SQL[f"join_{_how}_whole"] = f"SELECT {_cols} FROM {_WHOLE_SIDES.format(how=_duck)}"
-
 _LEFT = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')"
 _RIGHT = "(SELECT user_id, ts, max(value) AS value FROM events WHERE event_type <> 'purchase' GROUP BY ALL)"
 

@@ -40,7 +40,7 @@ def same():
         """Two Arrow tables hold the same rows under the same names, in any order."""
         names = sorted(a.column_names)
         assert names == sorted(b.column_names)
-        rows = lambda t: sorted(zip(*[[plain(v) for v in t[c].to_pylist()] for c in names]))
+        rows = lambda t: sorted(zip(*[[plain(v) for v in t[c].to_pylist()] for c in names]), key=repr)
         assert rows(a) == rows(b)
 
     return check
