@@ -189,25 +189,29 @@ def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: i
     mixers = Mixer(blocks), Mixer(blocks)
     p_two = np.full(blocks * JOINT, 1 << 12, U)
     p_either = p_two + p_two
-    counts = np.zeros((blocks, vocab + 1), np.int64)
-    size = np.zeros((blocks, vocab + 1), np.int64)
-    size[:, vocab] = SLOTS  # the escape
-    cum, share, of_slot = np.zeros_like(size), np.zeros(size.size, np.int32), np.full(blocks << SLOT_BITS, vocab, np.int32)
-    flat_size, flat_cum = size.reshape(-1), cum.reshape(-1)
+    width = vocab + 1
+    counts = np.zeros(blocks * width, np.int64)
+    escape = np.arange(blocks) * width + vocab
+    flat_size, flat_cum, share = np.zeros(blocks * width, np.int32), np.zeros(blocks * width, np.int32), np.zeros(blocks * width, np.int32)
+    flat_size[escape] = SLOTS
+    of_slot = np.full(blocks << SLOT_BITS, vocab, np.int32)
     events = np.zeros((32, blocks * lanes), np.int32)
     seen = counted = 0
     p1, p2 = np.zeros(blocks * lanes, np.int64), np.zeros(blocks * lanes, np.int64)
     for t in range(steps):
         if t in REBUILT:
-            counts += np.bincount((out[counted:t] + at_id).ravel(), minlength=counts.size).reshape(counts.shape)
+            counts += np.bincount((out[counted:t] + at_id).ravel(), minlength=len(counts))
             counted = t
-            size = counts * (SLOTS - SLOTS // 16) // (t * lanes)
-            share = np.minimum(np.frexp(size.astype(np.float32))[1], 7).reshape(-1) << 7
-            size[:, vocab] = SLOTS - size.sum(1)
-            flat_cum = (np.cumsum(size, 1) - size).astype(np.int32).reshape(-1)
-            flat_size = size.astype(np.int32).reshape(-1)
+            used = np.flatnonzero(counts)
+            size = counts[used] * (SLOTS - SLOTS // 16) // (t * lanes)
+            share[used] = np.minimum(np.frexp(size.astype(np.float32))[1], 7) << 7
+            flat_size[used] = size
+            flat_size[escape] = SLOTS - np.add.reduceat(flat_size, escape - vocab) + flat_size[escape]
             used = np.flatnonzero(flat_size)
-            of_slot = np.repeat((used % (vocab + 1)).astype(np.int32), flat_size[used])
+            size = flat_size[used]
+            # the sizes of a block add up to SLOTS
+            flat_cum[used] = np.cumsum(size) - size - (used // width << SLOT_BITS)
+            of_slot = np.repeat((used % width).astype(np.int32), size)
         if t in LEARNED:
             met = np.bincount(events[: t - seen].ravel(), minlength=blocks * JOINT * 4).reshape(blocks, *SHAPE, 4)
             seen = t
