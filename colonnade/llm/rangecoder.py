@@ -36,7 +36,7 @@ SLOTS = 1 << SLOT_BITS
 ONE_BITS, TWO_BITS = 15, 16
 #: joint contexts: share of order 0 (8), orders agree (2), confidence of order 1 (8) and of order 2 (8)
 SHAPE, JOINT = (8, 2, 8, 8), 1024
-LEARNED = {1, 2, 4, 8, 16, *range(32, 1 << 20, 32)}
+LEARNED = {1, 2, 4, 8, 16, 32, *range(64, 1 << 20, 64)}
 REBUILT = {4, 16, 64, 128, 256, 384, 512, 768, *range(1024, 1 << 20, 512)}
 _KNOTS = np.array([1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094], np.int64)
 
@@ -195,7 +195,7 @@ def _run(coder: Encoder | Decoder, blocks: int, lanes: int, steps: int, vocab: i
     flat_size, flat_cum, share = np.zeros(blocks * width, np.int32), np.zeros(blocks * width, np.int32), np.zeros(blocks * width, np.int32)
     flat_size[escape] = SLOTS
     of_slot = np.full(blocks << SLOT_BITS, vocab, np.int32)
-    events = np.zeros((32, blocks * lanes), np.int32)
+    events = np.zeros((64, blocks * lanes), np.int32)
     seen = counted = 0
     p1, p2 = np.zeros(blocks * lanes, np.int64), np.zeros(blocks * lanes, np.int64)
     for t in range(steps):

@@ -34,6 +34,8 @@ from colonnade.llm.wordbpe import word_bpe
 
 #: the most ids in a block
 BLOCK = 1 << 18
+#: bytes of text in a record; the more blocks are coded in step, the less each id costs
+RECORD_BYTES = 18 << 20
 HEAD = struct.Struct("<4sIQIII")
 
 
@@ -92,7 +94,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, parts: int | None
         from pyspark import TaskContext
 
         model, part, record = word_bpe(path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, RECORD_BYTES):
             ids, bounds = model.encode(as_text(batch.column("text")))
             wide = np.insert(ids.astype(np.int64), bounds[1:], end_id)
             n = np.diff(bounds) + 1
