@@ -333,6 +333,8 @@ _add(
 )
 
 _w, _run = "OVER (ORDER BY pos)", "OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+# Spark folds a frame that runs on to the end anew for each row; from the end backward it is one pass
+_back = "OVER (ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _cum = lambda f, v="i": f"CASE WHEN {v} IS NOT NULL THEN {f}({v}) {_run} END"
 _frame = "OVER (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
 _rolling = lambda f: f"CASE WHEN count(i) {_frame} >= 3 THEN {f}(i) {_frame} END"
@@ -346,7 +348,7 @@ _add(
     ("rank_quantile", "((rank() OVER (ORDER BY i NULLS LAST) + count(*) OVER (ORDER BY i NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0D - 0.5D - 0.5D + 0.5D - 0.5D + 0.5D) / count(*) OVER ()", None, "d"),
     ("partition_nth_indices", "row_number() OVER (ORDER BY i NULLS LAST, pos) <= 5", "="), ("percent_rank", "percent_rank() OVER (ORDER BY i NULLS LAST)", "=", "d"), ("cume_dist", "cume_dist() OVER (ORDER BY i NULLS LAST)", "=", "d"),
     ("dictionary_encode", "dense_rank() OVER (ORDER BY i NULLS LAST) - 1", "CAST(dense_rank() OVER (ORDER BY i NULLS LAST) - 1 AS INTEGER)"),
-    ("fill_null_forward", f"last_value(x, true) {_run}", f"last_value(x IGNORE NULLS) {_run}", "d"), ("fill_null_backward", "first_value(x, true) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "first_value(x IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "d"),
+    ("fill_null_forward", f"last_value(x, true) {_run}", f"last_value(x IGNORE NULLS) {_run}", "d"), ("fill_null_backward", f"last_value(x, true) {_back}", "first_value(x IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "d"),
     ("pairwise_diff", f"i - lag(i, 1) {_w}", "="), ("pairwise_diff_checked", f"CASE WHEN i IS NOT NULL AND lag(i, 1) {_w} IS NOT NULL THEN coalesce(try_subtract(i, lag(i, 1) {_w}), {_raise('BIGINT', 'overflow')}) END", f"i - lag(i, 1) {_w}"),
     ("cumulative_sum", _cum("sum"), f"CASE WHEN i IS NOT NULL THEN CAST(sum(i) {_run} AS BIGINT) END"), ("cumulative_sum_checked", _cum("sum"), f"CASE WHEN i IS NOT NULL THEN CAST(sum(i) {_run} AS BIGINT) END"),
     ("cumulative_max", _cum("max"), "="), ("cumulative_min", _cum("min"), "="), ("cumulative_mean", _cum("avg"), "=", "d"),

@@ -59,6 +59,20 @@ def test_floats(spark):
     assert df.agg(E.max_(F.col("x"))).first()[0] == 2.0
 
 
+def test_fills_take_one_pass(spark):
+    values = [None, 1.0, None, None, NAN, None, -INF, -0.0, None, INF, None, None]
+    df = spark.createDataFrame([(n, "ab"[n % 2], x) for n, x in enumerate(values)], "pos int, k string, x double")
+    show = lambda xs: [None if x is None else str(x) for x in xs]
+    for name in ("fill_null_forward", "fill_null_backward"):
+        fill = getattr(pc, name)
+        filled = df.withColumn("all", call(name)).withColumn("own", call(name, by="k"))
+        assert show(column(filled, F.col("all"))) == show(fill(pa.array(values)).to_pylist())
+        for n in (0, 1):
+            assert show(column(filled.where(f"pos % 2 = {n}"), F.col("own"))) == show(fill(pa.array(values[n::2])).to_pylist())
+        # a frame that ends at the last row is folded anew for each row: the square of a window's rows
+        assert "unboundedfollowing" not in df.select(call(name))._jdf.queryExecution().toString().lower()
+
+
 def test_logic(spark):
     tri = [True, False, None]
     df = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate((a, b) for a in tri for b in tri)], "pos int, b boolean, c boolean")
